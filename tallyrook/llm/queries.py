@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrook.llm import decontaminate, jaccard, quality, rules, tokenbin, toxicity, urls
+from tallyrook.llm import decontaminate, jaccard, licences, pieces, quality, rules, tokenbin, tokencounts, toxicity, urls
 from tallyrook.llm.base import fold, new_path, table
 
 THRESHOLD = 0.3
@@ -56,6 +56,10 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_paragraphs", "n_licence", "families")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Likeness(size=4, num=85, den=100))
 
@@ -65,6 +69,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: cut a word's worth from the middle, insert a
+    sentence at a third, replace the end."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(start, end, new):
+        return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(new).alias("new"))
+
+    edits = F.array(
+        edit(F.floor(n / 2), F.floor(n / 2) + 7, ""),
+        edit(F.floor(n / 3), F.floor(n / 3), " An added sentence, 2 numbers. "),
+        edit(F.greatest(n - 24, F.lit(0)), n, "end"),
+    )
+    out = tokencounts.counts_under_edits(docs.withColumn("edits", edits), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", *[F.get("counts", k).alias(f"after_edit_{k + 1}") for k in range(3)], "n_chars", "encoded_chars")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
+
+
 def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
     return out.select(
@@ -83,8 +109,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_binary": op2_token_binary,
     "op3_quality_qda": op3_quality_qda,
+    "op4_licence_scan": op4_licence_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
+    "op7_edit_counts": op7_edit_counts,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_url_filter": op10_url_filter,
 }
