@@ -91,3 +91,10 @@ def labelled_sample(labels: DataFrame, label: str, training: Column, limit: int)
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
     return labels.sparkSession.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, y int")
+
+
+def restricted_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """`docs` whose id is (left_semi) or isn't (left_anti) in `ids`; the ids are
+    broadcast if they are few, else both sides shuffle.  Null ids are in none."""
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tallyrook.llm import base, textvec
 from tallyrook.llm.fmindex import FMIndex
@@ -160,11 +161,12 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases])
     return out
 
 
-FIELDS = "n_words long, n_hit long, items array<string>, spans array<long>, cuts array<long>"
+FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<bigint>, cuts array<bigint>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, `keep` and FIELDS of each row of `docs`."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
+    """key, `keep` and FIELDS of each row of `docs`.  clean: also `cleaned`, the
+    text without occurrences of windows of full length, cut until none is left."""
     spark = docs.sparkSession
     base.ship(spark)
     blocks, block, size = [], [], 0
@@ -175,7 +177,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, key: str = "doc
             blocks.append(phrases(block, window))
             block, size = [], 0
     blocks.append(phrases(block, window))
-    return _scan_blocks(docs, blocks, key, text, keep)
+    return _scan_blocks(docs, blocks, key, text, keep, clean)
 
 
 def _one_by_one(shared: list) -> Iterator[Phrases]:
@@ -186,10 +188,11 @@ def _one_by_one(shared: list) -> Iterator[Phrases]:
             b.__dict__.pop("_value", None)
 
 
-def _scan_blocks(docs: DataFrame, blocks: list[Phrases], key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+def _scan_blocks(docs: DataFrame, blocks: list[Phrases], key: str, text: str, keep: tuple[str, ...], clean: bool) -> DataFrame:
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
     names = [key, *keep]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names])
+    schema = T.StructType(schema.fields + T.StructType.fromDDL(FIELDS + ", cleaned string" * clean).fields)
     types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int64()), "cuts": pa.list_(pa.int64())}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,25 @@ def _scan_blocks(docs: DataFrame, blocks: list[Phrases], key: str, text: str, ke
                 data, offsets = textvec.text_buffer(batch.column(len(names)))
                 for i, j in textvec.chunks(offsets, SHARD_BYTES):
                     got = scan_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _one_by_one(shared))
-                    columns = [batch.column(k).slice(i, j - i) for k in range(len(names))]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array(got[c], t) for c, t in types.items()], names=[*names, *types])
-
-    return docs.select(*names, text).mapInArrow(run, f"{kinds}, {FIELDS}")
+                    columns = [batch.column(k).slice(i, j - i) for k in range(len(names))] + [pa.array(got[c], t) for c, t in types.items()]
+                    if clean:
+                        columns.append(_cleaned(batch.column(len(names)).slice(i, j - i), got["cuts"], shared))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *types, *["cleaned"] * clean])
+
+    return docs.select(*names, text).mapInArrow(run, schema)
+
+
+def _cleaned(texts: pa.Array, cuts: list[list[int]], shared: list) -> pa.Array:
+    hit = [k for k, c in enumerate(cuts) if c]
+    if not hit:
+        return texts.cast(pa.string())
+    out = texts.to_pylist()
+    for k in hit:
+        left = cuts[k]
+        while left:
+            raw = out[k].encode()
+            ends = [0, *left, len(raw)]
+            out[k] = b" ".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)).decode()
+            data, offsets = textvec.text_buffer(pa.array([out[k]]))
+            left = scan_shard(data, offsets, _one_by_one(shared))["cuts"][0]
+    return pa.array(out, pa.string())

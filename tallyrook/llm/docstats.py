@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tallyrook.llm import base, textvec
 
@@ -86,19 +87,20 @@ def count(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[str, n
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of `keep` and COUNTS (long) of each row of `docs`, in
-    one pass without a shuffle.  Null and empty texts count zero everywhere;
+    one pass without a shuffle; `keep` must not clash with COUNTS.  Null and empty texts count zero everywhere;
     rows with a null key stay."""
     base.ship(docs.sparkSession)
-    narrow = docs.select(key, *keep, text)
     names = [key, *keep]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    narrow = docs.select(*names) if text in names else docs.select(*names, text)
+    at = narrow.columns.index(text)
+    kinds = [T.StructField(c, docs.schema[c].dataType) for c in names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                data, offsets = textvec.text_buffer(batch.column(len(names)))
+                data, offsets = textvec.text_buffer(batch.column(at))
                 parts = [count(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in textvec.chunks(offsets)]
                 columns = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + columns, names=[*names, *COUNTS])
 
-    return narrow.mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return narrow.mapInArrow(run, T.StructType(kinds + [T.StructField(c, T.LongType()) for c in COUNTS]))

@@ -160,13 +160,6 @@ def moved_tokens(docs: DataFrame, like: Likeness) -> np.ndarray:
     return found
 
 
-def restricted(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """`docs` whose id is (left_semi) or isn't (left_anti) in `ids`; the ids are
-    broadcast if they are few, else both sides shuffle."""
-    few = ids.count() <= base.BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
-
-
 def _sketches(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, n and, for three orders, the first 32 bits of the prefix keys."""
 
@@ -254,12 +247,12 @@ def verified(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
 
-    near = restricted(docs, base.saved(ids(pairs), "near"), "left_semi")
+    near = base.restricted_rows(docs, base.saved(ids(pairs), "near"), "left_semi")
     sketches = base.saved(_sketches(near, like), "sketches")
     left = _paired(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     left = base.saved(left.mapInArrow(sift, "a long, b long"), "sifted")
     base.dropped(sketches)
-    close = restricted(docs, base.saved(ids(left), "close"), "left_semi")
+    close = base.restricted_rows(docs, base.saved(ids(left), "close"), "left_semi")
     whole = base.saved(_whole_sets(close, like), "sets")
     out = base.saved(_paired(left, whole, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long").distinct(), "links")
     base.dropped(whole)
@@ -296,7 +289,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     members = base.saved(labelled.join(open_, "token", "left_semi").select("doc_id", "component").distinct(), "members")
     if members.isEmpty():
         return None
-    close = restricted(docs, members.select("doc_id").distinct(), "left_semi")
+    close = base.restricted_rows(docs, members.select("doc_id").distinct(), "left_semi")
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -349,7 +342,7 @@ def join(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:  # noqa: B0
     repeated = real.groupBy("doc_id").count().where("count > 1").select("doc_id")
     several = base.saved(again.join(repeated, "doc_id", "left_semi").select("doc_id", "rep").where("doc_id != rep"), "several")
     idle = again.where("doc_id != rep").select("doc_id").distinct().join(repeated, "doc_id", "left_anti")
-    sources = restricted(docs.where("doc_id is not null"), base.saved(idle, "idle"), "left_anti")
+    sources = base.restricted_rows(docs.where("doc_id is not null"), base.saved(idle, "idle"), "left_anti")
 
     moved = moved_tokens(sources, like)
     base.freed(spark)

@@ -112,11 +112,14 @@ def verdict(cuts: dict[tuple[str, str], int], stratum: Column) -> Column:
 BASE_FAILED = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def apply(docs: DataFrame, labels: DataFrame, limit: float = 0.03, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
-    """doc_id, the counts of docstats, base_failed and kept, one row per row of
-    `docs`.  limit: the largest share of good documents of a stratum that all
-    rules together may reject, with confidence 1 - delta over all strata."""
+def apply(docs: DataFrame, labels: DataFrame, limit: float = 0.03, delta: float = 0.05, stratum: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stratum, `keep`, the counts of docstats, base_failed and kept,
+    one row per row of `docs`.  limit: the largest share of good documents of a
+    stratum that all rules together may reject, with confidence 1 - delta over
+    all strata."""
     stats = base.saved(docstats.counted(docs, keep=(stratum,)), "rule-stats")
     cuts = thresholds(stats, labels, F.col(stratum), limit, delta)
+    if keep:
+        stats = docstats.counted(docs, keep=(stratum, *keep))
     out = stats.withColumn("base_failed", BASE_FAILED)
     return out.withColumn("kept", ~F.col("base_failed") & ~verdict(cuts, F.col(stratum)))
