@@ -21,9 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that go to a Python worker at once: texts can be long, and an
+#: executor's memory holds a batch several times.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run."""
+    """Make this package importable in Python workers, wherever they run, and
+    bound their batches unless the session already does."""
     sc = spark.sparkContext
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if getattr(sc, "_tallyrook_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]

@@ -21,39 +21,33 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Nulls and loops in edges are ignored; no edges give no rows."""
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v")
     e = base.saved(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v"))).distinct()
-    members, labels = None, None
-    while True:
-        if e.isEmpty():
-            break
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    labels = None
+    while not e.isEmpty():
+        made = []
+
+        def kept(df: DataFrame) -> DataFrame:
+            made.append(base.saved(df, "parents"))
+            return made[-1]
+
         both = e.union(e.select("v", "u"))
-        parent = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("parent"))
-        parent = base.saved(parent, "parents")
+        parent = kept(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("parent")))
         while True:
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            flat = base.saved(parent.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "parents")
-            moved = not flat.where("moved").isEmpty()
-            base.dropped(parent)
+            flat = kept(parent.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
             parent = flat.select("node", "parent")
-            parent._tallyrook_path = flat._tallyrook_path
-            if not moved:
+            if flat.where("moved").isEmpty():
                 break
+        old = (labels, e)
         if labels is None:
-            labels = parent.select("node", F.col("parent").alias("component"))
-            labels._tallyrook_path = parent._tallyrook_path
+            labels = base.saved(parent.select("node", F.col("parent").alias("component")), "labels")
         else:
             step = parent.select(F.col("node").alias("component"), "parent")
-            new = base.saved(labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
-            base.dropped(labels)
-            labels = new
+            labels = base.saved(labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
         a = parent.select(F.col("node").alias("u"), F.col("parent").alias("a"))
         b = parent.select(F.col("node").alias("v"), F.col("parent").alias("b"))
-        nxt = e.join(a, "u").join(b, "v").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        nxt = base.saved(nxt, "edges")
-        base.dropped(e)
-        if members is not None:
-            base.dropped(members)
-        members, e = (parent if labels._tallyrook_path != parent._tallyrook_path else None), nxt
-    if labels is None:
-        return nodes.select("node", F.col("node").alias("component"))
+        crossing = e.join(a, "u").join(b, "v").where("a != b")
+        e = base.saved(crossing.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        base.dropped(*made, *[x for x in old if x is not None])
     return labels
