@@ -109,7 +109,9 @@ def verdict(cuts: dict[tuple[str, str], int], stratum: Column) -> Column:
     return out
 
 
-BASE_FAILED = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed() -> Column:
+    """Too few words, or too many of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def apply(docs: DataFrame, labels: DataFrame, limit: float = 0.03, delta: float = 0.05, stratum: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -121,5 +123,5 @@ def apply(docs: DataFrame, labels: DataFrame, limit: float = 0.03, delta: float
     cuts = thresholds(stats, labels, F.col(stratum), limit, delta)
     if keep:
         stats = docstats.counted(docs, keep=(stratum, *keep))
-    out = stats.withColumn("base_failed", BASE_FAILED)
+    out = stats.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~verdict(cuts, F.col(stratum)))

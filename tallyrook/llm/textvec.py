@@ -100,15 +100,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+class Spans:
+    """A 64-bit hash of any span of `data`: a polynomial modulo 2**64 by prefix
+    sums, brought to power zero by the inverse of its odd base, mixed with the
+    span's length."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power_tables(len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.down[np.minimum(starts, len(self.down) - 1)]
+        return mix(h + (ends - starts).astype(np.uint64) * _MUL)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: a polynomial modulo 2**64 by
-    prefix sums, brought to power zero by the inverse of its odd base, mixed
-    with the span's length."""
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[np.minimum(starts, len(down) - 1)]
-    return mix(h + (ends - starts).astype(np.uint64) * _MUL)
+    return Spans(data)(starts, ends)
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
