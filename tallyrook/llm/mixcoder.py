@@ -8,8 +8,8 @@ few array operations.
 Model of a block.  Order 2 and order 1 each keep, by a hash of the last two ids
 or the last id, the id that followed and a confidence; order 0 codes by
 frequency rank.  An event says which prediction holds: order 2, order 1, or a
-literal of rank class c (ranks 2**c - 1 up to 2**(c + 1) - 2), whose c low bits
-follow.  Event counts are kept overall (order 0), by the class of the last id
+literal of rank class c (the ranks from 4 * (2**c - 1), 2**(c + 2) of them),
+whose place in the class follows in c + 2 bits.  Event counts are kept overall (order 0), by the class of the last id
 (order 1) and by the confidences of both predictions (order 2); the mixture is
 their sum, and what a count adds in a context is the context's weight, which
 grows while the context predicts better than the mixture.
@@ -26,14 +26,18 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-EVENTS = 18
+EVENTS = 16
 _SLOTS2, _SLOTS1 = 4096, 2048
+_SLOTS = _SLOTS2 + _SLOTS1
+_ROWS = 32  # contexts of a lane: 1 of order 0, 15 of order 1, 16 of order 2
 _NONE = 0xFFFF
 _LOW32, _LOW16 = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
 _S16, _S32 = np.uint64(16), np.uint64(32)
 _FLOOR = np.uint64(1 << 32)
 _SUM = np.tril(np.ones((EVENTS, EVENTS), np.float32))
 _ONES = np.ones(EVENTS, np.float32)
+#: What a confidence (0 to 3) gains by a miss and by a hit, shifted above the id.
+_GAIN = (np.array([0, -1, -1, -2, 1, 1, 1, 0], np.int64) << 16).astype(np.uint32)
 #: Ids must be below this.
 ID_LIMIT = _NONE
 
@@ -44,61 +48,61 @@ class Model:
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
         self.rows = self.lanes * EVENTS
-        self.memo2 = np.full(lanes * _SLOTS2, _NONE, np.uint32)
-        self.memo1 = np.full(lanes * _SLOTS1, _NONE, np.uint32)
-        self.base2, self.base1 = self.lanes * _SLOTS2, self.lanes * _SLOTS1
-        self.n0 = np.ones((lanes, EVENTS), np.float32)
-        self.n1 = np.zeros((lanes * 17, EVENTS), np.float32)
-        self.n2 = np.zeros((lanes * 16, EVENTS), np.float32)
-        self.flat0, self.flat1, self.flat2 = self.n0.reshape(-1), self.n1.reshape(-1), self.n2.reshape(-1)
+        self.memo = np.full(lanes * _SLOTS, _NONE, np.uint32)
+        self.memo_base = np.stack([self.lanes * _SLOTS, self.lanes * _SLOTS + _SLOTS2])
+        self.counts = np.zeros((lanes * _ROWS, EVENTS), np.float32)
+        self.counts[::_ROWS] = 1
+        self.flat = self.counts.reshape(-1)
+        self.base = np.stack([self.lanes * _ROWS, self.lanes * _ROWS + 1, self.lanes * _ROWS + 16])
+        self.at, self.hash = np.empty_like(self.base), np.empty((2, lanes), np.int64)
         # a context's weight is what a count adds to it
-        self.w0, self.w1, self.w2 = (np.full(lanes, w, np.float32) for w in (4, 12, 16))
+        self.weight = np.repeat(np.array([[4], [12], [16]], np.float32), lanes, axis=1)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.kind = np.full(lanes, 16, np.int64)  # class of the last id
+        self.kind = np.full(lanes, 14, np.int64)  # class of the last id
         self.steps = 0
 
     def predict(self) -> None:
         """Sets the predicted ids, the mixed event weights f (lane, event),
         their running sums (event, lane) and totals."""
         mixed = self.last * 40503
-        self.at2 = self.base2 + ((mixed + self.before * 25717 + (self.before >> 7)) & (_SLOTS2 - 1))
-        self.at1 = self.base1 + ((mixed + (self.last >> 9)) & (_SLOTS1 - 1))
-        self.m2, self.m1 = self.memo2.take(self.at2), self.memo1.take(self.at1)
-        self.guess2, self.guess1 = self.m2 & _NONE, self.m1 & _NONE
-        self.row1 = self.lanes * 17 + self.kind
-        self.row2 = self.lanes * 16 + ((self.m2 >> 16) * 4 + (self.m1 >> 16))
-        self.c1, self.c2 = self.n1.take(self.row1, axis=0), self.n2.take(self.row2, axis=0)
-        self.f = self.n0 + self.c1
-        self.f += self.c2
+        np.bitwise_and(mixed + self.before * 25717 + (self.before >> 7), _SLOTS2 - 1, out=self.hash[0])
+        np.bitwise_and(mixed + (self.last >> 9), _SLOTS1 - 1, out=self.hash[1])
+        self.hash += self.memo_base
+        self.m = self.memo.take(self.hash)
+        self.guess, self.sure = self.m & np.uint32(_NONE), self.m >> np.uint32(16)
+        np.copyto(self.at, self.base)
+        self.at[1] += self.kind
+        self.at[2] += self.sure[0] * np.uint32(4) + self.sure[1]
+        self.seen = self.counts.take(self.at, axis=0)
+        self.f = self.seen[0] + self.seen[1]
+        self.f += self.seen[2]
         self.sums = _SUM @ self.f.T
         self.total = self.sums[EVENTS - 1]
 
     def update(self, event: np.ndarray, own: np.ndarray, ids: np.ndarray, kinds: np.ndarray) -> None:
-        at = self.rows + event
         if self.steps % 8 == 0:
-            for counts, weight, all_ in (
-                (self.flat0.take(at), self.w0, self.n0 @ _ONES),
-                (self.c1.reshape(-1).take(at), self.w1, self.c1 @ _ONES),
-                (self.c2.reshape(-1).take(at), self.w2, self.c2 @ _ONES),
-            ):
-                weight += np.where(counts * self.total > own * all_, np.float32(1), np.float32(-1))
-                np.clip(weight, 2, 24, out=weight)
+            got = np.take_along_axis(self.seen, event[None, :, None], axis=2)[:, :, 0]
+            better = got * self.total > own * (self.seen @ _ONES)
+            self.weight += np.where(better, np.float32(1), np.float32(-1))
+            np.clip(self.weight, 2, 24, out=self.weight)
         self.steps += 1
-        self.flat0[at] = self.flat0.take(at) + self.w0
-        at = self.row1 * EVENTS + event
-        self.flat1[at] = self.flat1.take(at) + self.w1
-        at = self.row2 * EVENTS + event
-        self.flat2[at] = self.flat2.take(at) + self.w2
-        for memo, where, was, guess in ((self.memo2, self.at2, self.m2, self.guess2), (self.memo1, self.at1, self.m1, self.guess1)):
-            sure = was >> 16
-            missed = np.where(sure > 0, guess + ((sure >> 1) << 16), ids)
-            memo[where] = np.where(guess == ids, guess + (np.minimum(sure + 1, 3) << 16), missed)
+        self.at *= EVENTS
+        self.at += event
+        self.flat[self.at] = self.flat.take(self.at) + self.weight
+        ids32 = ids.astype(np.uint32)
+        case = ((self.guess == ids32).astype(np.uint32) << np.uint32(2)) | self.sure
+        self.memo[self.hash] = np.where(case == 0, ids32, self.m + _GAIN.take(case))
         self.before, self.last, self.kind = self.last, ids, kinds
 
 
 def _classes(ranks: np.ndarray) -> np.ndarray:
-    """floor(log2(rank + 1)), exactly."""
-    return np.frexp((ranks + 1).astype(np.float64))[1].astype(np.int64) - 1
+    """floor(log2(rank / 4 + 1)), exactly."""
+    return np.frexp((ranks + 4).astype(np.float64))[1].astype(np.int64) - 3
+
+
+def _bits(event: np.ndarray) -> np.ndarray:
+    """Bits that follow an event; for a literal of class c, c + 2."""
+    return np.where(event >= 2, event, 0).astype(np.uint64)
 
 
 def _unit(span: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -114,6 +118,7 @@ def _encode_lanes(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.nda
     steps = np.ascontiguousarray(ids.T)
     ranks = rank[steps]
     kinds = _classes(ranks)
+    below = ranks + 4 - (np.int64(4) << kinds)  # place inside the class
     model = Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     words, at = np.zeros((n + n // 2 + 16, lanes), np.uint32), np.zeros(lanes, np.int64)
@@ -134,16 +139,15 @@ def _encode_lanes(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.nda
     for t in range(n):
         model.predict()
         x, kind = steps[t], kinds[t]
-        event = np.where(model.guess2 == x, 0, np.where(model.guess1 == x, 1, kind + 2))
+        event = np.where(model.guess[0] == x, 0, np.where(model.guess[1] == x, 1, kind + 2))
         f = model.f.reshape(-1).take(model.rows + event)
         start = model.sums.reshape(-1).take(event * lanes + model.lanes) - f
         unit = _unit(span, model.total)
         low += start.astype(np.uint64) * unit
         np.multiply(f.astype(np.uint64), unit, out=span)
         shift()
-        bits = np.where(event >= 2, kind, 0).astype(np.uint64)
-        span >>= bits
-        value = np.where(event >= 2, ranks[t] + 1 - (1 << kind), 0).astype(np.uint64)
+        span >>= _bits(event)
+        value = np.where(event >= 2, below[t], 0).astype(np.uint64)
         low += value * span
         shift()
         model.update(event, f, x, kind)
@@ -194,13 +198,13 @@ def _decode_lanes(words: np.ndarray, counts: np.ndarray, n: int, by_rank: np.nda
         code -= start.astype(np.uint64) * unit
         np.multiply(f.astype(np.uint64), unit, out=span)
         shift()
-        bits = np.maximum(event - 2, 0).astype(np.uint64)
-        span >>= bits
+        span >>= _bits(event)
         low = code // span
         code -= low * span
         shift()
-        literal = by_rank[np.minimum(low.astype(np.int64) + (1 << np.maximum(event - 2, 0)) - 1, len(by_rank) - 1)]
-        x = np.where(event == 0, model.guess2, np.where(event == 1, model.guess1, literal)).astype(np.int64)
+        rank = low.astype(np.int64) + (np.int64(1) << event) - 4
+        literal = by_rank.take(rank, mode="clip")
+        x = np.where(event == 0, model.guess[0], np.where(event == 1, model.guess[1], literal)).astype(np.int64)
         out[t] = x
         model.update(event, f, x, kinds_by_id.take(x))
     return out.T
