@@ -11,32 +11,48 @@ from tallyrook.functions import text
 from tallyrook.operators.rules import RULES, Rule, java
 
 
-def _matches(place: int, rule: Rule) -> Column:
-    """A struct per match of one rule in `text`."""
-    constants = [
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.cwe).alias("cwe"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.message).alias("message"),
-        F.lit(rule.func_name).cast("string").alias("func_name"),
-    ]
-    starts = text.match_starts(F.col("text"), java(rule.pattern))
-    return F.transform(starts, lambda c: F.struct(F.lit(place).alias("rule_ord"), c.cast("int").alias("col"), *constants))
+#: Fields of a finding, in output order.
+FIELDS = ("line", "rule_ord", "col", "rule_id", "cwe", "severity", "message", "match_text", "func_name")
+
+
+def _matches(place: int, rule: Rule, line: Column) -> Column:
+    """A struct per match of one rule in a struct (line, text)."""
+    constants = {"rule_id": rule.rule_id, "cwe": rule.cwe, "severity": rule.severity, "message": rule.message}
+
+    def finding(col: Column) -> Column:
+        return F.struct(
+            line["line"].alias("line"),
+            F.lit(place).alias("rule_ord"),
+            col.cast("int").alias("col"),
+            *[F.lit(v).alias(k) for k, v in constants.items()],
+            text.strip(line["text"]).alias("match_text"),
+            F.lit(rule.func_name).cast("string").alias("func_name"),
+        )
+
+    return F.transform(text.match_starts(line["text"], java(rule.pattern)), finding)
+
+
+def findings(code: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """All findings of a text as an array, ordered by line, rule and place.
+    Lines that no rule matches are dropped before anything is built."""
+    if not rules:
+        return F.array()
+    any_rule = "|".join(f"(?:{java(r.pattern)})" for r in rules)
+    numbered = F.transform(text.lines(code), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    hit = F.filter(numbered, lambda s: s["text"].rlike(any_rule))
+    return F.flatten(F.transform(hit, lambda s: F.flatten(F.array(*[_matches(k, r, s) for k, r in enumerate(rules)]))))
 
 
 def scan(code: DataFrame, rules: Sequence[Rule] = RULES, key: str = "code_id", column: str = "code") -> DataFrame:
     """One row per match: key, line (from 1), rule_ord, col (from 0), rule_id,
     cwe, severity, message, match_text (the whole line, stripped), func_name.
 
-    Map-only: a line that no rule matches is dropped before anything is built.
-    Null code has no lines."""
+    Map-only.  Null code has no lines."""
+    if not rules:
+        raise ValueError("no rules")
     any_rule = "|".join(f"(?:{java(r.pattern)})" for r in rules)
-    hit = code.where(F.col(column).rlike(any_rule)) if rules else code.limit(0)
-    rows = hit.select(key, F.posexplode(text.lines(F.col(column))).alias("line", "text")).where(F.col("text").rlike(any_rule))
-    per_rule = [_matches(k, r) for k, r in enumerate(rules)]
-    out = rows.select(key, (F.col("line") + 1).alias("line"), "text", F.explode(F.flatten(F.array(*per_rule))).alias("f"))
-    f = [F.col(f"f.{c}").alias(c) for c in ("rule_ord", "col", "rule_id", "cwe", "severity", "message")]
-    return out.select(key, "line", *f, text.strip(F.col("text")).alias("match_text"), F.col("f.func_name").alias("func_name"))
+    rows = code.where(F.col(column).rlike(any_rule)).select(key, F.explode(findings(F.col(column), rules)).alias("f"))
+    return rows.select(key, *[F.col(f"f.{c}").alias(c) for c in FIELDS])
 
 
 def counts(findings: DataFrame, *by: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrook.functions import text
+from tallyrook.operators import scan
 from tallyrook.operators.rules import RULES, SPACE, WORD
 
 VALIDATOR = "lexical"
@@ -117,23 +118,44 @@ def in_skip(findings: DataFrame, ranges: DataFrame, key: str = "code_id") -> Dat
     return findings.alias("f").join(ranges.alias("r"), (F.col(f"f.{key}") == F.col(f"r.{key}")) & inside, "left_semi")
 
 
-def validate(findings: DataFrame, code: DataFrame, key: str = "code_id", column: str = "code") -> DataFrame:
-    """`findings` with confirmed, reason and validator.
-
-    One equi join on the key.  A named finding holds if that name is called on
-    its line (lines ending at \\n), whatever the match; one without a name holds
-    outside literals and comments; where the code doesn't parse, all hold."""
-    shape = structure(code, key, column)
-    rows = findings.join(shape, key)
-    called = F.exists("calls", lambda c: (c["line"] == F.col("line")) & (c["name"] == F.col("func_name")))
-    at = F.substring(F.element_at(text.lines(F.col("masked")), F.col("line")), F.col("col") + 1, F.lit(1))
-    plain = at != " "
-    confirmed = F.when(F.col("parse_error"), True).when(F.col("func_name").isNotNull(), called).otherwise(plain)
+def _judged(f: Column, parse_error_: Column, calls_: Column, masked_lines: Column) -> tuple[Column, Column]:
+    """confirmed and reason of a finding.  A named finding holds if that name is
+    called on its line (lines ending at \\n), whatever the match; one without a
+    name holds outside literals and comments; where the code doesn't parse, all
+    hold."""
+    name = f["func_name"]
+    called = F.exists(calls_, lambda c: (c["line"] == f["line"]) & (c["name"] == name))
+    plain = F.substring(F.element_at(masked_lines, f["line"]), f["col"] + 1, F.lit(1)) != " "
+    confirmed = F.when(parse_error_, True).when(name.isNotNull(), called).otherwise(plain)
     reason = (
-        F.when(F.col("parse_error"), PARSE_ERROR)
-        .when(F.col("func_name").isNotNull() & called, F.format_string("confirmed: %s is called on this line", "func_name"))
-        .when(F.col("func_name").isNotNull(), F.format_string("rejected: no call of %s on this line", "func_name"))
+        F.when(parse_error_, PARSE_ERROR)
+        .when(name.isNotNull() & called, F.concat(F.lit("confirmed: "), name, F.lit(" is called on this line")))
+        .when(name.isNotNull(), F.concat(F.lit("rejected: no call of "), name, F.lit(" on this line")))
         .when(plain, IN_CODE)
         .otherwise(IN_SKIP)
     )
+    return confirmed, reason
+
+
+def validated(code: DataFrame, key: str = "code_id", column: str = "code", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, `keep` and findings with confirmed and reason, one array per row of
+    `code`: scan and structure of a text meet in its own row, without a join."""
+    rows = code.select(key, *keep, scan.findings(F.col(column)).alias("f"), text.blanked(F.col(column), TOKEN).alias("masked"))
+    rows = rows.withColumn("calls", calls(text.blanked(F.col("masked"), DIRECTIVE)))
+    rows = rows.withColumns({"lines": text.lines(F.col("masked")), "odd": parse_error(F.col("masked"))})
+
+    def judged(f: Column) -> Column:
+        confirmed, reason = _judged(f, F.col("odd"), F.col("calls"), F.col("lines"))
+        return F.struct(*[f[c].alias(c) for c in scan.FIELDS], confirmed.alias("confirmed"), reason.alias("reason"))
+
+    return rows.select(key, *keep, F.transform("f", judged).alias("findings"))
+
+
+def validate(findings: DataFrame, code: DataFrame, key: str = "code_id", column: str = "code") -> DataFrame:
+    """`findings` (rows, from anywhere) with confirmed, reason and validator: one
+    equi join on the key.  `validated` needs none."""
+    shape = structure(code, key, column).withColumn("lines", text.lines(F.col("masked"))).drop("masked")
+    rows = findings.join(shape, key)
+    f = {c: F.col(c) for c in ("line", "col", "func_name")}
+    confirmed, reason = _judged(f, F.col("parse_error"), F.col("calls"), F.col("lines"))
     return rows.select(*findings.columns, confirmed.alias("confirmed"), reason.alias("reason"), F.lit(VALIDATOR).alias("validator"))

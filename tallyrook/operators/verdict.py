@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrook.operators.scan import scan
-from tallyrook.operators.syntax import validate
+from tallyrook.operators.syntax import validated
 
 THRESHOLD = 0.5
 
@@ -20,20 +19,19 @@ def verdict(confirmed: Column, p: Column, threshold: float = THRESHOLD) -> Colum
 
 def analyze(code: DataFrame, scorer: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, key: str = "code_id", column: str = "code") -> DataFrame:
     """key, code, regex_findings, confirmed_findings (arrays in scan order),
-    model_prediction and verdict, for every row of `code`, also without findings."""
-    found = validate(scan(code, key=key, column=column), code, key, column)
-    parts = ["line", "rule_ord", "col", "rule_id", "cwe", "severity", "message", "match_text", "func_name", "confirmed"]
-    grouped = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("f"))
+    model_prediction and verdict, for every row of `code`, also without findings.
+    Nothing is shuffled but for what the scorer joins; a null text has none."""
+    rows = validated(code.select(key, F.col(column).alias("code")), key, "code", keep=("code",))
+    rows = rows.withColumn("findings", F.coalesce("findings", F.array()))
 
-    def shaped(rows: Column) -> Column:
-        return F.transform(rows, lambda f: F.struct(*[f[c].alias(c) for c in ("rule_id", "cwe", "severity", "message", "line", "col", "match_text", "func_name")]))
+    def shaped(found: Column) -> Column:
+        return F.transform(found, lambda f: F.struct(*[f[c].alias(c) for c in ("rule_id", "cwe", "severity", "message", "line", "col", "match_text", "func_name")]))
 
     scores = scorer(code).select(key, F.struct("label", "probability", "model_source").alias("model_prediction"))
-    rows = code.select(key, F.col(column).alias("code")).join(grouped, key, "left").join(scores, key, "left")
-    rows = rows.withColumn("regex_findings", F.coalesce(shaped(F.col("f")), F.array().cast("array<struct<rule_id:string,cwe:string,severity:string,message:string,line:int,col:int,match_text:string,func_name:string>>")))
-    rows = rows.withColumn("confirmed_findings", F.coalesce(shaped(F.filter("f", lambda f: f["confirmed"])), F.slice("regex_findings", 1, 0)))
-    said = verdict(F.size("confirmed_findings") > 0, F.col("model_prediction.probability"), threshold)
-    return rows.select(key, "code", "regex_findings", "confirmed_findings", "model_prediction", said.alias("verdict"))
+    rows = rows.join(scores, key, "left")
+    confirmed = F.filter("findings", lambda f: f["confirmed"])
+    said = verdict(F.size(confirmed) > 0, F.col("model_prediction.probability"), threshold)
+    return rows.select(key, "code", shaped(F.col("findings")).alias("regex_findings"), shaped(confirmed).alias("confirmed_findings"), "model_prediction", said.alias("verdict"))
 
 
 def confirmed_rules(findings: Column) -> Column:
