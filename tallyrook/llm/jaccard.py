@@ -298,19 +298,22 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
                 for i, j, h, doc in _sets_of(batch, like):
                     h, doc = textvec.distinct_in_doc(h, doc)
                     n = np.bincount(doc, minlength=j - i)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][doc], pa.int64()), pa.array(n[doc], pa.int32())], names=["token", "doc_id", "n"])
+                    mark = np.zeros(j - i, np.uint64)  # tells the sets of a repeated id apart
+                    np.add.at(mark, doc, order(h, 0))
+                    columns = [pa.array(h.view(np.int64)), pa.array(ids[i:j][doc], pa.int64()), pa.array(n[doc], pa.int32()), pa.array(mark[doc].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "n", "mark"])
 
-    tokens = base.saved(close.select("doc_id", "text").mapInArrow(explode, "token long, doc_id long, n int"), "tokens")
+    tokens = base.saved(close.select("doc_id", "text").mapInArrow(explode, "token long, doc_id long, n int, mark long"), "tokens")
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = base.saved(tokens.join(df, "token"), "frequencies")
     from pyspark.sql import Window as W
 
     # a document's own tokens (df 1) come first in ascending frequency, so they
     # use up the first n - core places of its prefix
-    by_doc = W.partitionBy("doc_id", "n")
+    by_doc = W.partitionBy("doc_id", "mark")
     ranked = known.withColumn("at", F.row_number().over(by_doc.orderBy("df", "token"))).withColumn("core", F.count("*").over(by_doc))
     p = F.expr(f"n - ({like.num} * n + {like.den - 1}) div {like.den} + 1")
-    ranked = ranked.where((F.col("at") + F.col("n") - F.col("core")) <= p).select("token", "doc_id", "n", "core")
+    ranked = ranked.where((F.col("at") + F.col("n") - F.col("core")) <= p).select("token", "doc_id", "n", "core", "at")
     # partners' largest size that the tokens shared with anyone allow
     most = F.least(F.expr(f"n * {like.den} / {like.num}D"), F.expr(f"core * {like.num + like.den} / {like.num}D - n"))
     ranked = ranked.withColumn("most", most).join(members, "doc_id")
@@ -322,9 +325,10 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     minor = ranked.join(major, "token").where("component != major")
     low, high = F.floor(F.log(F.expr(f"n * {like.num}D / {like.den}")) / fine).cast("int"), F.floor(F.log("most") / fine).cast("int")
     minor = minor.where(F.col("most") > 0).withColumn("low", low - 1).withColumn("high", high + 1).where("low <= high")
-    minor = minor.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("core").alias("ca"), F.col("component").alias("ka"), F.explode(F.sequence("low", "high")).alias("bucket"))
-    other = ranked.select("token", "bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("core").alias("cb"), F.col("component").alias("kb"))
-    fits = F.expr(f"ka != kb and {like.num} * (na + nb) <= {like.num + like.den} * least(ca, cb)") & _sizes_fit("na", "nb", like)
+    minor = minor.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("core").alias("ca"), F.col("at").alias("ta"), F.col("component").alias("ka"), F.explode(F.sequence("low", "high")).alias("bucket"))
+    other = ranked.select("token", "bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("core").alias("cb"), F.col("at").alias("tb"), F.col("component").alias("kb"))
+    # at a pair's first common token, no more than what follows on both sides is shared
+    fits = F.expr(f"ka != kb and {like.num} * (na + nb) <= {like.num + like.den} * (1 + least(ca - ta, cb - tb))") & _sizes_fit("na", "nb", like)
     found = minor.join(other, ["token", "bucket"]).where(fits)
     del spark
     return base.saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "residual")
