@@ -51,7 +51,7 @@ class ChunkEncoder:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY:
             self.known = {"": b""}
-        new = set().union(*parts) - self.known.keys()
+        new = set().union(*parts).difference(self.known)
         if new:
             self._learn(list(new))
         get = self.known.__getitem__
