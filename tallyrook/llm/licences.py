@@ -6,7 +6,9 @@ probability.  It is trained on the templates, whole, in parts and with words
 left out, against paragraphs that are no licence; the unknown class is
 calibrated by a temperature fitted on held-out examples.  A predicted family
 counts only if the paragraph also resembles one of its templates (shared word
-2-grams).
+2-grams).  Besides the whole paragraph, every stretch of it that resembles a
+template is classified alone, so words around a notice don't hide it, and a
+paragraph can hold notices of several families.
 
 Null and empty texts have no paragraph.  Paragraphs without a known word are
 unknown.
@@ -77,6 +79,8 @@ _LINE = np.zeros(256, bool)
 _LINE[0x0A] = True
 #: Share of a paragraph's or template's 2-grams that must be common.
 CONFIRM = 0.6
+#: A template's words may spread over so many times its length.
+STRETCH = 1.5
 #: Probability of a family from which a paragraph is predicted to be of it.
 SURE = 0.5
 
@@ -101,6 +105,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     template_grams: list[list[np.ndarray]]
+    grams: textvec.Lookup  # of all templates
+    templates: list[tuple[int, int, np.ndarray]]  # family, words, whether each of `grams` is in it
 
 
 def _features(h: np.ndarray) -> np.ndarray:
@@ -158,12 +164,74 @@ def train(seed: int = 17, steps: int = 400, ridge: float = 2e-3) -> Model:
             best, temperature = loss, float(t)
     with np.errstate(over="ignore"):
         templates = [[np.unique(textvec.window_hashes(_hashes(_words(t)), 2)) for t in TEMPLATES[n]] for n in names[:-1]]
-    return Model(names, unigrams, features, w.astype(np.float32), b.astype(np.float32), temperature, templates)
+    grams = textvec.Lookup(np.concatenate([g for own in templates for g in own]))
+    flat = [(k, len(_words(t)), g) for k, n in enumerate(names[:-1]) for t, g in zip(TEMPLATES[n], templates[k], strict=True)]
+    member = [(k, words, np.isin(np.arange(len(grams.keys)), grams(g))) for k, words, g in flat]
+    return Model(names, unigrams, features, w.astype(np.float32), b.astype(np.float32), temperature, templates, grams, member)
+
+
+def _probabilities(row: np.ndarray, feature: np.ndarray, n: int, m: Model) -> np.ndarray:
+    """Class probabilities of n rows that have the given features, or -1 for one unknown."""
+    found = feature >= 0
+    key = np.unique(row[found].astype(np.int64) * len(m.features.keys) + feature[found])
+    row, column = key // len(m.features.keys), key % len(m.features.keys)
+    z = np.tile(m.bias, (n, 1))
+    np.add.at(z, row, m.weights[column])
+    z = z / m.temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _stretches(h: np.ndarray, line: np.ndarray, pair: np.ndarray, inside: np.ndarray, m: Model) -> list[tuple[int, int, int, float]]:
+    """(first word, end, family, probability) of stretches inside a line that
+    share enough 2-grams with a template of the family they are classified as;
+    of those that overlap, the one with the largest share of its template."""
+    gram = np.where(inside, m.grams(pair), -1)
+    at = np.flatnonzero(gram >= 0)
+    gram = gram[at]
+    spans: dict[tuple[int, int, int], float] = {}  # to the share of the template
+    for family, words, member in m.templates:
+        mine = member[gram]
+        pos, own = at[mine], gram[mine]
+        need = int(np.ceil(CONFIRM * member.sum() - 1e-9))
+        # a line's words are consecutive, so its end bounds a stretch too
+        last = np.minimum(pos + int(words * STRETCH), np.searchsorted(line, line[pos], "right"))
+        stop = np.searchsorted(pos + 1, last, "left")
+        for i in np.flatnonzero(stop - np.arange(len(pos)) >= need).tolist():
+            j = int(stop[i])
+            new = np.unique(own[i:j], return_index=True)[1]  # a repeated 2-gram adds nothing
+            if len(new) >= need:
+                key = int(pos[i]), int(pos[i + new.max()]) + 2, family
+                spans[key] = max(spans.get(key, 0.0), len(new) / int(member.sum()))
+    if not spans:
+        return []
+    found = np.array(sorted(spans), np.int64)
+    begin, n = found[:, 0], found[:, 1] - found[:, 0]
+    row = np.repeat(np.arange(len(n)), n)
+    word = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[row]
+    first = word[1:][row[1:] == row[:-1]] - 1
+    p = _probabilities(np.concatenate([row, row[1:][row[1:] == row[:-1]]]), np.concatenate([m.features(h[word]), m.features(pair[first])]), len(n), m)
+    p = p[np.arange(len(n)), found[:, 2]]
+    out: list[tuple[int, int, int, float]] = []
+    sure = [(a, b, f, q) for (a, b, f), q in zip(found.tolist(), p.tolist(), strict=True) if q >= SURE]
+    group: list[tuple[int, int, int, float]] = []
+    reach = 0
+    for s in [*sure, (len(h) + 1, len(h) + 1, -1, 0.0)]:
+        if group and s[0] >= reach:
+            taken: list[tuple[int, int, int, float]] = []
+            for g in sorted(group, key=lambda g: (-spans[g[:3]], g[1] - g[0], g[0])):
+                if all(g[1] <= t[0] or g[0] >= t[1] for t in taken):
+                    taken.append(g)
+            out += sorted(taken)
+            group = []
+        group.append(s)
+        reach = max(reach, s[1])
+    return out
 
 
 def scan_chunk(data: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Paragraphs per document, and of each licence paragraph: its document,
-    its number in the document, its family and probability."""
+    """Paragraphs per document, and of each licence family of a paragraph: its
+    document, the paragraph's number in it, the family and its probability."""
     n = len(offsets) - 1
     low = textvec.lower_ascii(data)
     begin, _, first_line = textvec.words(low, offsets, _LINE)
@@ -175,10 +243,9 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndar
     h = textvec.span_hashes(low, starts, ends)
     line = np.searchsorted(begin, starts, "right") - 1
     known = m.unigrams(h) >= 0
-    per_line = np.bincount(line, minlength=len(begin))
     hits = np.bincount(line[known], minlength=len(begin))
-    # a line that passes the template test shares its 2-grams, so most of its words are known
-    use = (hits >= 2) & (hits * 3 >= per_line)
+    # a template's 2-gram has two known words
+    use = hits >= 2
     keep = use[line]
     h, line = h[keep], line[keep]
     if not len(h):
@@ -187,28 +254,29 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndar
     inside = line[1:] == line[:-1]
     feature = np.concatenate([m.features(h), m.features(pair[inside])])
     where = np.concatenate([line, line[1:][inside]])
-    found = feature >= 0
     lines, at = np.unique(where, return_inverse=True)
-    key = np.unique(at[found].astype(np.int64) * len(m.features.keys) + feature[found])
-    row, column = key // len(m.features.keys), key % len(m.features.keys)
-    z = np.tile(m.bias, (len(lines), 1))
-    np.add.at(z, row, m.weights[column])
-    z = z / m.temperature
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+    p = _probabilities(at, feature, len(lines), m)
     family = p[:, :-1].argmax(1)
     likely = np.flatnonzero((p.argmax(1) != len(m.names) - 1) & (p[np.arange(len(p)), family] >= SURE))
-    own, owner = pair[inside], at[len(h) :]
+    stretches = _stretches(h, line, pair, inside, m)
+    best = {(int(line[start]), f): q for start, _, f, q in reversed(stretches)}
+    free = np.ones(len(pair), bool)  # 2-grams outside all stretches
+    for start, end, _, _ in stretches:
+        free[start : end - 1] = False
+    own, owner, free = pair[inside], at[len(h) :], free[inside]
     order = np.argsort(owner, kind="stable")
-    own, owner = own[order], owner[order]
-    sure = []
+    own, owner, free = own[order], owner[order], free[order]
     for k in likely.tolist():
-        grams = np.unique(own[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right")])
-        sure.append(any(len(np.intersect1d(grams, t, True)) >= CONFIRM * max(1, min(len(grams), len(t))) for t in m.template_grams[family[k]]))
-    likely = likely[np.array(sure, bool)] if len(likely) else likely
-    where = lines[likely]
+        i, j = np.searchsorted(owner, k), np.searchsorted(owner, k, "right")
+        n, grams = len(np.unique(own[i:j])), np.unique(own[i:j][free[i:j]])
+        # a family that rests on another one's stretch doesn't count
+        if any(len(np.intersect1d(grams, t, True)) >= CONFIRM * max(1, min(n, len(t))) for t in m.template_grams[family[k]]):
+            best.setdefault((int(lines[k]), int(family[k])), float(p[k, family[k]]))
+    if not best:
+        return count, nothing, nothing, nothing, np.zeros(0, np.float32)
+    where, of = np.array(sorted(best), np.int64).T
     doc = np.searchsorted(first_line, where, "right") - 1
-    return count, doc, where - first_line[doc], family[likely], p[likely, family[likely]]
+    return count, doc, where - first_line[doc], of, np.array([best[k] for k in sorted(best)])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,7 +300,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                         found[d].append({"paragraph": k, "family": m.names[f], "probability": q})
                     names = [",".join(sorted({x["family"] for x in f})) for f in found]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(names), pa.array(found, pa.list_(item))],
+                        [batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array([len({x["paragraph"] for x in f}) for f in found], pa.int64()), pa.array(names), pa.array(found, pa.list_(item))],
                         names=[key, "n_paragraphs", "n_licence", "families", "licences"],
                     )
 
