@@ -60,7 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Occurrences of full benchmark windows are cut out of the texts."""
+    """Occurrences of benchmark windows, and of items shorter than a window, are
+    cut out of the texts."""
     found = decontaminate.scan(_packed(docs), table(spark, sf_dir, "benchmark"), window=8, keep=("__rest",), clean=True)
     return _unpacked(found, docs.columns, "cleaned")
 

@@ -49,7 +49,6 @@ class Phrases:
     owners: np.ndarray
     names: list[str]
     shortest: int
-    full: np.ndarray  # whether the phrase has the whole window's length
 
 
 def phrases(items: list[tuple[object, str | None]], window: int) -> Phrases:
@@ -77,7 +76,6 @@ def phrases(items: list[tuple[object, str | None]], window: int) -> Phrases:
         np.array([k for x in own for k in x], np.int64),
         names,
         int(lengths.min()) if len(lengths) else 1,
-        lengths == window,
     )
 
 
@@ -122,51 +120,47 @@ def occurrences(h: np.ndarray, first: np.ndarray, p: Phrases) -> tuple[np.ndarra
 
 def scan_shard(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases]) -> dict[str, list]:
     """Per document: n_words, n_hit, items (sorted), spans (byte offsets of the
-    merged hits: start, end, start, end, ...), and cuts: the same for windows
-    of full length only."""
+    merged hits: start, end, start, end, ...)."""
     n = len(offsets) - 1
     low = textvec.lower_ascii(data)
     starts, ends, first = textvec.words(low, offsets, GAP)
     h = textvec.span_hashes(low, starts, ends)
     word_doc = np.repeat(np.arange(n), np.diff(first))
-    cover = np.zeros((2, len(h) + 1), np.int64)
+    cover = np.zeros(len(h) + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(n)]
     for p in blocks:
         at, phrase = occurrences(h, first, p)
         if not len(at):
             continue
         end = at + np.diff(p.offsets)[phrase]
-        full = p.full[phrase]
-        for k, use in ((0, slice(None)), (1, full)):
-            cover[k] += np.bincount(at[use], minlength=len(h) + 1) - np.bincount(end[use], minlength=len(h) + 1)
+        cover += np.bincount(at, minlength=len(h) + 1) - np.bincount(end, minlength=len(h) + 1)
         pair = np.unique(np.stack([word_doc[at], phrase]), axis=1)
         own, which = _spread(p.owner_offsets[pair[1]], p.owner_offsets[pair[1] + 1])
         for d, k in np.unique(np.stack([pair[0][which], p.owners[own]]), axis=1).T.tolist():
             items[d].add(p.names[k])
     out: dict[str, list] = {"n_words": np.diff(first).tolist(), "items": [sorted(x) for x in items]}
-    for name, row in (("spans", cover[0]), ("cuts", cover[1])):
-        hit = np.cumsum(row)[:-1] > 0
-        docs = word_doc[hit]
-        if name == "spans":
-            out["n_hit"] = np.bincount(docs, minlength=n).tolist()
-        lists: list[list[int]] = [[] for _ in range(n)]
-        where = np.flatnonzero(hit)
-        if len(where):
-            new = np.ones(len(where), bool)
-            new[1:] = (where[1:] != where[:-1] + 1) | (docs[1:] != docs[:-1])
-            last = np.append(np.flatnonzero(new)[1:] - 1, len(where) - 1)
-            for d, a, b in zip(docs[new].tolist(), (starts[where[new]] - offsets[docs[new]]).tolist(), (ends[where[last]] - offsets[docs[new]]).tolist(), strict=True):
-                lists[d] += [a, b]
-        out[name] = lists
+    hit = np.cumsum(cover)[:-1] > 0
+    docs = word_doc[hit]
+    out["n_hit"] = np.bincount(docs, minlength=n).tolist()
+    lists: list[list[int]] = [[] for _ in range(n)]
+    where = np.flatnonzero(hit)
+    if len(where):
+        new = np.ones(len(where), bool)
+        new[1:] = (where[1:] != where[:-1] + 1) | (docs[1:] != docs[:-1])
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(where) - 1)
+        for d, a, b in zip(docs[new].tolist(), (starts[where[new]] - offsets[docs[new]]).tolist(), (ends[where[last]] - offsets[docs[new]]).tolist(), strict=True):
+            lists[d] += [a, b]
+    out["spans"] = lists
     return out
 
 
-FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<bigint>, cuts array<bigint>"
+FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """key, `keep` and FIELDS of each row of `docs`.  clean: also `cleaned`, the
-    text without occurrences of windows of full length, cut until none is left."""
+    text without occurrences of windows (of an item shorter than a window: of
+    the whole item), cut until none is left."""
     spark = docs.sparkSession
     base.ship(spark)
     blocks, block, size = [], [], 0
@@ -193,7 +187,7 @@ def _scan_blocks(docs: DataFrame, blocks: list[Phrases], key: str, text: str, ke
     names = [key, *keep]
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names])
     schema = T.StructType(schema.fields + T.StructType.fromDDL(FIELDS + ", cleaned string" * clean).fields)
-    types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int64()), "cuts": pa.list_(pa.int64())}
+    types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int64())}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -203,7 +197,7 @@ def _scan_blocks(docs: DataFrame, blocks: list[Phrases], key: str, text: str, ke
                     got = scan_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _one_by_one(shared))
                     columns = [batch.column(k).slice(i, j - i) for k in range(len(names))] + [pa.array(got[c], t) for c, t in types.items()]
                     if clean:
-                        columns.append(_cleaned(batch.column(len(names)).slice(i, j - i), got["cuts"], shared))
+                        columns.append(_cleaned(batch.column(len(names)).slice(i, j - i), got["spans"], shared))
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, *types, *["cleaned"] * clean])
 
     return docs.select(*names, text).mapInArrow(run, schema)
@@ -221,5 +215,5 @@ def _cleaned(texts: pa.Array, cuts: list[list[int]], shared: list) -> pa.Array:
             ends = [0, *left, len(raw)]
             out[k] = b" ".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)).decode()
             data, offsets = textvec.text_buffer(pa.array([out[k]]))
-            left = scan_shard(data, offsets, _one_by_one(shared))["cuts"][0]
+            left = scan_shard(data, offsets, _one_by_one(shared))["spans"][0]
     return pa.array(out, pa.string())

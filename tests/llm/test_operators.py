@@ -56,6 +56,16 @@ def test_cleaned_text_has_no_window_left(spark):
     assert got[2] == "clean text" and got[1].split() == ["before", "after"]
 
 
+def test_short_items_are_cleaned(spark):
+    long_ = "one two three four five six seven eight nine"
+    bench = spark.createDataFrame([(1, long_), (2, "Red green blue"), (3, "zebra")], "item_id long, text string")
+    rows = [(1, f"a red, green blue b {long_} c"), (2, "a red red green blue green blue b"), (3, "red green"), (4, "x Zebra y"), (5, "red green blue"), (6, None)]
+    out = decontaminate.scan(docs(spark, rows), bench, clean=True).select("doc_id", F.col("cleaned").alias("text"))
+    assert decontaminate.scan(out, bench).where("n_hit > 0").count() == 0
+    got = {r["doc_id"]: r["text"] if r["text"] is None else r["text"].split() for r in out.collect()}
+    assert got == {1: ["a", "b", "c"], 2: ["a", "b"], 3: ["red", "green"], 4: ["x", "y"], 5: [], 6: None}
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, int), np.array([5]), np.arange(60000), rng.integers(0, 65535, 5000), np.tile(rng.integers(0, 900, 700), 9), np.minimum(rng.zipf(1.3, 9000), 49407)):
