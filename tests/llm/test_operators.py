@@ -231,9 +231,12 @@ def test_licence_notices_inside_long_lines(spark):
         (24, f"{filler} This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation {filler}"),
         (25, f"{filler} Licensed under CC BY-NC 4.0. {filler}"), (26, f"{filler} All the rights of the public are reserved under the general version of the license {filler}"),
     ]
+    strange = " ".join(f"river{k} stone{k}" for k in range(60))
+    rows += [(30, f"{strange} {mit}"), (31, f"One.\n{mit} {strange}")]
     rows += [(100 + k, f"{filler} {t} {filler}") for k, t in enumerate(t for texts in licences.TEMPLATES.values() for t in texts)]
     got = {r["doc_id"]: (r["n_paragraphs"], r["n_licence"], r["families"], [x["paragraph"] for x in r["licences"]]) for r in licences.scan(docs(spark, rows)).collect()}
     assert got[20] == (1, 1, "MIT", [0]) and got[21] == (3, 1, "MIT", [1]) and got[22] == (1, 1, "Apache-2.0,MIT", [0, 0])
+    assert got[30] == (1, 1, "MIT", [0]) and got[31] == (2, 1, "MIT", [1])
     assert got[23] == (1, 0, "", []) and got[24][2] == "LGPL" and got[25][2] == "CC-BY-NC" and got[26][2] == ""
     families = [n for n, texts in licences.TEMPLATES.items() for _ in texts]
     assert [got[100 + k][2] for k in range(len(families))] == families
