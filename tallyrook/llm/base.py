@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest number of rows of narrow keys that may be broadcast; beyond it the
 #: operators join by shuffle instead.
@@ -47,10 +52,14 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one
-    of our own where that is unset (tests on one machine)."""
+    of our own where that is unset and everything runs on one machine; on a
+    cluster a local folder would lose rows, so there it must be set."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="tallyrook-")
+        atexit.register(shutil.rmtree, given, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
@@ -59,12 +68,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files when the query ends, instead of when the
+#: driver happens to collect garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives
     lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyrook_path = path
     return out
@@ -80,12 +101,37 @@ def dropped(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that no frame refers to any more."""
-    import gc
+def measured(docs: DataFrame, text: str, kernel: Callable[[pa.Array], list[pa.Array]], ddl: str, name: str) -> DataFrame:
+    """`docs` with the struct column `name`, whose fields (`ddl`) `kernel` makes
+    of the text column, an Arrow batch at a time.  Only the texts go to Python
+    and only the struct comes back; all other columns stay in the JVM.  The
+    kernel runs once per row, whatever is selected or filtered later."""
+    if name in docs.columns:
+        raise ValueError(f"the column name {name} is taken")
+    ship(docs.sparkSession)
+    fields = [f.name for f in T.StructType.fromDDL(ddl)]
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with np.errstate(over="ignore"):
+            for batch in texts:
+                yield pa.StructArray.from_arrays(kernel(batch), names=fields)
+
+    made = F.arrow_udf(run, ddl).asNondeterministic()  # so that no filter repeats it
+    return docs.withColumn(name, made(F.col(f"`{text}`").cast("string")))
+
+
+def packed(docs: DataFrame, names: Sequence[str], keep: Sequence[str], own: Iterable[str]) -> DataFrame:
+    """`docs` with `names` and, out of the way of any other name, the columns
+    of `keep` in one struct.  own: columns of the result; a column to keep that
+    is called like one of them is an error."""
+    clash = sorted(set(keep) & set(own)) or sorted({c for c in keep if list(keep).count(c) > 1})
+    if clash:
+        raise ValueError(f"columns to keep clash with those of the result: {', '.join(clash)}")
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.struct(F.lit(None).cast("int").alias("__none"), *[F.col(f"`{c}`") for c in keep]).alias("__keep"))
+
 
-    gc.collect()
-    spark._jvm.System.gc()
+def unpacked(keep: Sequence[str]) -> list[Column]:
+    return [F.col(f"__keep.`{c}`").alias(c) for c in keep]
 
 
 def fold(key: Column, mod: int) -> Column:
@@ -99,7 +145,8 @@ def labelled_sample(labels: DataFrame, label: str, training: Column, limit: int)
     rows = labels.where(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return labels.sparkSession.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, y int")
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    return labels.sparkSession.createDataFrame([(r[0], r[1]) for r in ids], f"doc_id {kind}, y int")
 
 
 def restricted_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:

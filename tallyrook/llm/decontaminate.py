@@ -7,11 +7,15 @@ rest an FM-index is built; every phrase (window of benchmark words) is searched
 backwards through wavelet ranks, its occurrences are located by sampled suffix
 positions, and overlapping hits merge to removal spans.
 
-No shuffle.  Benchmark phrases reach the workers in blocks of bounded size; of
-a benchmark of several blocks a worker holds one at a time.
-
-Null texts have no words and stay null.  Null ids stay.  A null or wordless
-item has no window.  Repeated items each count.  An empty benchmark hits nothing.
+No shuffle.  Benchmark phrases reach the workers in blocks made of some 1 MB of
+text each, a dozen times that in memory; a worker holds one at a time.
+
+Null texts have no words and stay null.  Null ids stay; rows that repeat an id
+are searched one by one.  A text longer than a shard is a shard of its own.  A
+null or wordless item has no window.  Repeated items each count.  An empty
+benchmark hits nothing, an empty table gives no rows.  A column to keep that is
+called like a result is an error, other columns may have any name.  Words are
+told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from tallyrook.llm import base, textvec
 from tallyrook.llm.fmindex import FMIndex
 
 #: Benchmark text per block, in characters.
-BLOCK_CHARS = 64 << 20
+BLOCK_CHARS = 1 << 20
 #: Text per shard.
 SHARD_BYTES = 4 << 20
 
@@ -60,22 +64,27 @@ def phrases(items: list[tuple[object, str | None]], window: int) -> Phrases:
         h = textvec.span_hashes(data, starts, ends)
     vocabulary = textvec.Lookup(h)
     ids = (vocabulary(h) + 1).astype(np.int32)
-    owners: dict[bytes, set[int]] = {}
-    for k in range(len(names)):
-        own = ids[first[k] : first[k + 1]]
-        for at in range(max(1, len(own) - window + 1)) if len(own) else ():
-            owners.setdefault(own[at : at + window].tobytes(), set()).add(k)
-    parts = [np.frombuffer(p, np.int32) for p in owners]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    own = [sorted(x) for x in owners.values()]
+    size = np.diff(first)
+    parts, counts, lengths = [], [], []
+    for n in range(1, window + 1):  # items shorter than a window are one window each
+        own = np.flatnonzero(size == n) if n < window else np.flatnonzero(size >= n)
+        at, which = _spread(first[own], first[own + 1] - n + 1)
+        if len(at):
+            rows, phrase = np.unique(ids[at[:, None] + np.arange(n)], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([phrase.reshape(-1), own[which]]), axis=1)
+            parts.append((rows.reshape(-1), pairs[1]))
+            counts.append(np.bincount(pairs[0], minlength=len(rows)))
+            lengths.append(np.full(len(rows), n, np.int64))
+    none = np.zeros(0, np.int64)
+    length, count = np.concatenate([none, *lengths]), np.concatenate([none, *counts])
     return Phrases(
         vocabulary,
-        np.concatenate(parts) if parts else np.zeros(0, np.int32),
-        np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64),
-        np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64),
-        np.array([k for x in own for k in x], np.int64),
+        np.concatenate([np.zeros(0, np.int32), *[p[0] for p in parts]]),
+        np.concatenate([[0], np.cumsum(length)]).astype(np.int64),
+        np.concatenate([[0], np.cumsum(count)]).astype(np.int64),
+        np.concatenate([none, *[p[1] for p in parts]]),
         names,
-        int(lengths.min()) if len(lengths) else 1,
+        int(length.min()) if len(length) else 1,
     )
 
 
@@ -155,23 +164,41 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases])
 
 
 FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"
+_TYPES = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int64())}
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """key, `keep` and FIELDS of each row of `docs`.  clean: also `cleaned`, the
     text without occurrences of windows (of an item shorter than a window: of
     the whole item), cut until none is left."""
-    spark = docs.sparkSession
-    base.ship(spark)
     blocks, block, size = [], [], 0
     for r in benchmark.select(item, "text").toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1] or "")
         if size >= BLOCK_CHARS:
-            blocks.append(phrases(block, window))
+            blocks.append(docs.sparkSession.sparkContext.broadcast(phrases(block, window)))
             block, size = [], 0
-    blocks.append(phrases(block, window))
-    return _scan_blocks(docs, blocks, key, text, keep, clean)
+    blocks.append(docs.sparkSession.sparkContext.broadcast(phrases(block, window)))
+    own = [f.split()[0] for f in FIELDS.split(", ")]
+    rows = base.packed(docs, [key, text], keep, [key, *own, *["cleaned"] * clean])
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        data, offsets = textvec.text_buffer(texts)
+        parts: dict[str, list[pa.Array]] = {c: [] for c in [*_TYPES, *["cleaned"] * clean]}
+        for i, j in textvec.chunks(offsets, SHARD_BYTES):
+            got = scan_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _one_by_one(blocks))
+            for c, t in _TYPES.items():
+                parts[c].append(pa.array(got[c], t))
+            if clean:
+                parts["cleaned"].append(_cleaned(texts.slice(i, j - i), got["spans"], blocks))
+        types = [*_TYPES.values(), *[pa.string()] * clean]
+        return [pa.concat_arrays([pa.array([], t), *p]) for t, p in zip(types, parts.values(), strict=True)]
+
+    out = base.measured(rows, text, run, FIELDS + ", cleaned string" * clean, "__found")
+    fields = [F.col(f"__found.{c}").alias(c) for c in own]
+    if clean:  # only texts that changed come back
+        fields.append(F.coalesce("__found.cleaned", F.col(f"`{text}`")).alias("cleaned"))
+    return out.select(F.col(f"`{key}`"), *base.unpacked(keep), *fields)
 
 
 def _one_by_one(shared: list) -> Iterator[Phrases]:
@@ -182,38 +209,15 @@ def _one_by_one(shared: list) -> Iterator[Phrases]:
             b.__dict__.pop("_value", None)
 
 
-def _scan_blocks(docs: DataFrame, blocks: list[Phrases], key: str, text: str, keep: tuple[str, ...], clean: bool) -> DataFrame:
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    names = [key, *keep]
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names])
-    schema = T.StructType(schema.fields + T.StructType.fromDDL(FIELDS + ", cleaned string" * clean).fields)
-    types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int64())}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                data, offsets = textvec.text_buffer(batch.column(len(names)))
-                for i, j in textvec.chunks(offsets, SHARD_BYTES):
-                    got = scan_shard(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _one_by_one(shared))
-                    columns = [batch.column(k).slice(i, j - i) for k in range(len(names))] + [pa.array(got[c], t) for c, t in types.items()]
-                    if clean:
-                        columns.append(_cleaned(batch.column(len(names)).slice(i, j - i), got["spans"], shared))
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *types, *["cleaned"] * clean])
-
-    return docs.select(*names, text).mapInArrow(run, schema)
-
-
 def _cleaned(texts: pa.Array, cuts: list[list[int]], shared: list) -> pa.Array:
-    hit = [k for k, c in enumerate(cuts) if c]
-    if not hit:
-        return texts.cast(pa.string())
-    out = texts.to_pylist()
-    for k in hit:
-        left = cuts[k]
+    """The texts that hits are cut from; null for those without."""
+    out: list[str | None] = [None] * len(cuts)
+    for k, left in enumerate(cuts):
+        raw = texts[k].as_py().encode() if left else b""
         while left:
-            raw = out[k].encode()
             ends = [0, *left, len(raw)]
-            out[k] = b" ".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)).decode()
+            raw = b" ".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+            out[k] = raw.decode()
             data, offsets = textvec.text_buffer(pa.array([out[k]]))
             left = scan_shard(data, offsets, _one_by_one(shared))["spans"][0]
     return pa.array(out, pa.string())

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from tallyrook.llm import base, textvec
 
@@ -85,22 +83,22 @@ def count(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[str, n
     return out
 
 
+def _counts(texts: pa.Array) -> list[pa.Array]:
+    data, offsets = textvec.text_buffer(texts)
+    parts = [count(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in textvec.chunks(offsets)]
+    return [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
+
+
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of `keep` and COUNTS (long) of each row of `docs`, in
-    one pass without a shuffle; `keep` must not clash with COUNTS.  Null and empty texts count zero everywhere;
-    rows with a null key stay."""
-    base.ship(docs.sparkSession)
-    names = [key, *keep]
-    narrow = docs.select(*names) if text in names else docs.select(*names, text)
-    at = narrow.columns.index(text)
-    kinds = [T.StructField(c, docs.schema[c].dataType) for c in names]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                data, offsets = textvec.text_buffer(batch.column(at))
-                parts = [count(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in textvec.chunks(offsets)]
-                columns = [pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS]
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + columns, names=[*names, *COUNTS])
-
-    return narrow.mapInArrow(run, T.StructType(kinds + [T.StructField(c, T.LongType()) for c in COUNTS]))
+    one pass without a shuffle.
+
+    Null and empty texts count zero everywhere; rows with a null key stay; rows
+    that repeat an id are counted one by one; an empty table gives no rows.
+    Columns of `docs` that are not in `keep` are ignored, whatever their names;
+    one of `keep` that is called like a result is an error.  Texts are counted in chunks of 1 MB;
+    a longer text is a chunk of its own and takes some 25 bytes of memory for
+    each of its bytes."""
+    rows = base.packed(docs.withColumn("__text", F.col(f"`{text}`")), [key, "__text"], keep, [key, *COUNTS])
+    out = base.measured(rows, "__text", _counts, ", ".join(f"{c} long" for c in COUNTS), "__counts")
+    return out.select(F.col(f"`{key}`"), *base.unpacked(keep), "__counts.*")

@@ -7,7 +7,10 @@ the score, a difference of Mahalanobis log densities, is a plain column
 expression in Spark's generated code.
 
 Null or empty texts have zero counts and get an ordinary score.  Null ids stay
-and are scored but never train.  If a class has fewer than two training rows,
+and are scored but never train.  Rows that repeat an id are scored one by one
+(and train one by one); of labels that repeat an id the largest holds.  Long
+texts: see docstats.  An empty table gives no rows.  A column to keep that is
+called like a result is an error, other columns may have any name.  If a class has fewer than two training rows,
 every score is the share of label 1 (0.5 with no rows at all).
 """
 
@@ -123,4 +126,5 @@ def classify(docs: DataFrame, labels: DataFrame, training: Column, keep: tuple[s
     sample = base.labelled_sample(labels, "quality", training, limit)
     known = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     model = fit(docstats.counted(known), sample)
-    return scored(docstats.counted(docs, keep=keep), model).select("doc_id", *keep, "score")
+    rows = docstats.counted(base.packed(docs, ["doc_id", "text"], keep, ["doc_id", "score"]), keep=("__keep",))
+    return scored(rows, model).select("doc_id", *base.unpacked(keep), "score")

@@ -8,15 +8,22 @@ this fixed order needs no correction among cutoffs; the confidence is split
 over rules and strata (Bonferroni).  A stratum with too little evidence
 rejects nothing.
 
-Null or empty texts have zero counts; they fail the base rule.  A null stratum
-is a stratum of its own.  Repeated labels of one id count once (the largest).
+Null or empty texts have zero counts; they fail the base rule.  Null ids are
+judged but are no evidence.  A null stratum is a stratum of its own.  Repeated
+labels of one id count once (the largest); rows that repeat an id are judged
+one by one, and each is evidence if the id is labelled.  A value on the cutoff
+passes.  An empty table gives no rows.  A column to keep that is called like a
+result is an error, other columns may have any name.  Long texts: see docstats.
+Equal words, lines and windows are told by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,44 +75,52 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(counts: dict[tuple[str, str], dict[int, int]], good: dict[str, int], limit: float, delta: float) -> dict[tuple[str, str], int]:
-    """The strictest valid cutoff per (stratum, rule); absent where none is.
-    counts: good holdout documents by step; good: their number per stratum."""
-    share = delta / max(1, len(good) * len(RULES))
-    each = limit / len(RULES)
-    found = {}
-    for stratum, n in good.items():
-        for rule in RULES:
-            steps, above = counts.get((stratum, rule.name), {}), 0
-            for cut in range(BINS - 1, -1, -1):
-                above += steps.get(cut + 1, 0)
-                if above > n * each or upper_bound(above, n, share) > each:
-                    break
-                found[stratum, rule.name] = cut
+def choose(steps: dict[str, dict[int, int]], n: int, limit: float, share: float) -> dict[str, int]:
+    """The strictest valid cutoff of each rule in one stratum; absent where
+    none is.  steps: by rule, good holdout documents at each step, n in all;
+    share: the chance of a wrong choice that one rule may have."""
+    each, found = limit / len(RULES), {}
+    for rule in RULES:
+        at, above = steps.get(rule.name, {}), 0
+        for cut in range(BINS - 1, -1, -1):
+            above += at.get(cut + 1, 0)
+            if above > n * each or upper_bound(above, n, share) > each:
+                break
+            found[rule.name] = cut
     return found
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, stratum: Column, limit: float, delta: float) -> dict[tuple[str, str], int]:
-    """Cutoffs from all labelled good documents of `stats`."""
+def thresholds(stats: DataFrame, labels: DataFrame, stratum: str, limit: float, delta: float) -> DataFrame:
+    """(stratum, cuts): a cutoff or null for each of RULES, from all labelled
+    good documents of `stats`.  The holdout shrinks to counts by stratum, rule
+    and step before any stratum is looked at, so a stratum's row is bounded."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rows = stats.join(good, "doc_id", "left_semi").withColumn("stratum", F.coalesce(stratum.cast("string"), F.lit("")))
+    rows = stats.join(good, "doc_id", "left_semi").select(F.col(f"`{stratum}`").alias("stratum"), *docstats.COUNTS)
     steps = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), r.step().alias("step")) for r in RULES])).alias("s")
-    table = rows.select("stratum", steps).groupBy("stratum", "s.rule", "s.step").count().collect()  # strata x rules x steps rows at most
-    counts: dict[tuple[str, str], dict[int, int]] = {}
-    for r in table:
-        counts.setdefault((r["stratum"], r["rule"]), {})[r["step"]] = r["count"]
-    sizes = {s: sum(c.values()) for (s, rule), c in counts.items() if rule == RULES[0].name}
-    return choose(counts, sizes, limit, delta)
-
-
-def verdict(cuts: dict[tuple[str, str], int], stratum: Column) -> Column:
-    """True if a rule rejects."""
-    at = F.coalesce(stratum.cast("string"), F.lit(""))
+    counts = rows.select("stratum", steps).groupBy("stratum", "s.rule", "s.step").agg(F.count("*").alias("n"))
+    table = base.saved(counts.groupBy("stratum").agg(F.collect_list(F.struct("rule", "step", "n")).alias("steps")), "rule-steps")
+    share = delta / max(1, table.count() * len(RULES))
+
+    def cuts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for cells in batch.to_pylist():
+                by_rule: dict[str, dict[int, int]] = {r.name: {} for r in RULES}
+                for c in cells:
+                    by_rule[c["rule"]][c["step"]] = c["n"]
+                found = choose(by_rule, sum(by_rule[RULES[0].name].values()), limit, share)
+                out.append([found.get(r.name) for r in RULES])
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    made = F.arrow_udf(cuts, "array<int>")
+    return base.saved(table.select("stratum", made("steps").alias("cuts")), "rule-cuts")
+
+
+def verdict(cuts: Column) -> Column:
+    """True if a rule rejects; without cutoffs none does."""
     out = F.lit(False)
-    for rule in RULES:
-        for (name, r), cut in sorted(cuts.items()):
-            if r == rule.name:
-                out = out | ((at == name) & (rule.step() > cut))
+    for k, rule in enumerate(RULES):
+        out = out | F.coalesce(rule.step() > F.get(cuts, k), F.lit(False))
     return out
 
 
@@ -119,9 +134,16 @@ def apply(docs: DataFrame, labels: DataFrame, limit: float = 0.03, delta: float
     one row per row of `docs`.  limit: the largest share of good documents of a
     stratum that all rules together may reject, with confidence 1 - delta over
     all strata."""
-    stats = base.saved(docstats.counted(docs, keep=(stratum,)), "rule-stats")
-    cuts = thresholds(stats, labels, F.col(stratum), limit, delta)
+    own = ["doc_id", stratum, *docstats.COUNTS, "base_failed", "kept"]
+    rows = base.packed(docs, ["doc_id", stratum, "text"], keep, own)
+    stats = base.saved(docstats.counted(rows, keep=(stratum,)), "rule-stats")
+    cuts = thresholds(stats, labels, stratum, limit, delta)
     if keep:
-        stats = docstats.counted(docs, keep=(stratum, *keep))
-    out = stats.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~verdict(cuts, F.col(stratum)))
+        base.dropped(stats)
+        stats = docstats.counted(rows, keep=(stratum, "__keep"))
+    few = cuts.count() <= base.BROADCAST_ROWS
+    cuts = cuts.select(F.col("stratum").alias("__stratum"), F.col("cuts").alias("__cuts"))
+    out = stats.join(F.broadcast(cuts) if few else cuts, F.col(f"`{stratum}`").eqNullSafe(F.col("__stratum")), "left")
+    out = out.withColumn("base_failed", base_failed())
+    kept = ~F.col("base_failed") & ~verdict(F.col("__cuts"))
+    return out.select("doc_id", F.col(f"`{stratum}`"), *base.unpacked(keep), *docstats.COUNTS, "base_failed", kept.alias("kept"))

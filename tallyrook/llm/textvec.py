@@ -11,6 +11,8 @@ Null texts count as empty.  Every function accepts empty columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Bytes hashed at once.
+PIECE = 1 << 16
+#: Spans above so many bytes are hashed one by one.
+LONG = 256
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,21 +61,22 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data - np.uint8(65)) < 26).astype(np.uint8) << np.uint8(5))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of bytes outside `gap` (a table of
-    256 booleans), and for each document the index of its first word (n + 1)."""
+    256 booleans), and for each document the index of its first word (n + 1).
+    cut: whether a run also ends before a byte that is in one."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~gap[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cut = offsets[:-1][offsets[:-1] < n]
-    first[cut] = inside[cut]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    cut = offsets[1:][offsets[1:] > 0] - 1
-    last[cut] = inside[cut]
+    border = np.ones(n + 1, bool)  # between bytes k - 1 and k
+    np.logical_not(inside[:-1], out=border[1:-1])
+    if cut is not None:
+        border[1:-1] |= cut[1:]
+    border[offsets] = True
+    first = inside & border[:-1]
+    border[1:-1] |= ~inside[1:]
+    last = inside & border[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
@@ -85,38 +91,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers = np.zeros(0, np.uint64)
-_inverse = np.zeros(0, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            a, b = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INV, np.uint64)
-            a[0] = b[0] = 1
-            _powers, _inverse = np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
-    return _powers, _inverse
-
-
-class Spans:
-    """A 64-bit hash of any span of `data`: a polynomial modulo 2**64 by prefix
-    sums, brought to power zero by the inverse of its odd base, mixed with the
-    span's length."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _power_tables(len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[np.minimum(starts, len(self.down) - 1)]
-        return mix(h + (ends - starts).astype(np.uint64) * _MUL)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    with np.errstate(over="ignore"):
+        out = [np.full(PIECE + LONG + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for x in out:
+            x[0] = 1
+            np.cumprod(x, out=x)
+    return out[0], out[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(data)(starts, ends)
+    """A 64-bit hash of each span of `data`, whose starts ascend.  Short spans:
+    a polynomial modulo 2**64 by prefix sums, brought to power zero by the
+    inverse of its odd base, mixed with the span's length; below LONG bytes no
+    two texts agree in it by structure.  Longer spans: BLAKE2.  Sums are made
+    piece by piece, so beside the result memory doesn't grow with the text."""
+    up, down = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    sizes = ends - starts
+    for p in range(0, len(data), PIECE):
+        i, j = np.searchsorted(starts, (p, p + PIECE))
+        if i == j:
+            continue
+        part = data[p : p + PIECE + LONG].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        s = starts[i:j] - p
+        h = sums.take(s + sizes[i:j], mode="clip")
+        h -= sums.take(s)
+        h *= down.take(s)
+        out[i:j] = mix(h + sizes[i:j].astype(np.uint64) * _MUL)
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:

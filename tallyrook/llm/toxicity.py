@@ -9,10 +9,16 @@ of isolated words.
 
 The insult transducer's arcs are a fixed public vocabulary and words and word
 beginnings that labelled training rows mark (log odds over documents); the
-logistic is fitted on the same bounded sample.
+logistic is fitted on the same bounded sample, on scores by arcs that were
+learned without the scored rows.
 
 Null and empty texts have no clause and get the score of no match.  Rows with a
-null id are scored but never train.  Without labels the fixed weights hold.
+null id are scored but never train; rows that repeat an id are scored one by
+one, of labels that repeat one the largest holds.  Without labels of both kinds
+the fixed weights hold.  Equal odds are ordered by documents, then by hash.  A
+text of over 1 MB is a chunk of its own.  An empty table gives no rows.  A
+column to keep that is called like a result is an error, other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +41,8 @@ TRAINING_ROWS = 20_000
 ARCS, ARC_DOCS, ARC_ODDS = 20_000, 4, 3.0
 #: Lengths in bytes of the word beginnings that may become arcs.
 STEMS = (5, 6, 7, 8)
+#: Parts of the sample that take turns in being scored but not learned from.
+FOLDS = 3
 
 # Fixed vocabularies.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile fool dumb garbage filth vermin".split()
@@ -169,36 +178,36 @@ def clause_scores(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, machi
     return matched, total, most
 
 
-def _scores(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
-    base.ship(docs.sparkSession)
+def _scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """`docs` with the struct __s: matched, total, most, size."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    names = ["doc_id", *keep]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = composed()
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                data, offsets = textvec.text_buffer(batch.column(len(names)))
-                for i, j in textvec.chunks(offsets):
-                    got = clause_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value, machine)
-                    size = np.diff(offsets[i : j + 1])
-                    columns = [batch.column(k).slice(i, j - i) for k in range(len(names))]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in (*got, size.astype(float))], names=[*names, "matched", "total", "most", "size"])
+    def run(texts: pa.Array) -> list[pa.Array]:
+        machine, parts = composed(), [[np.zeros(0)] * 4]
+        data, offsets = textvec.text_buffer(texts)
+        for i, j in textvec.chunks(offsets):
+            got = clause_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value, machine)
+            parts.append([*got, np.diff(offsets[i : j + 1]).astype(float)])
+        return [pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)]
+
+    return base.measured(docs, "text", run, "matched double, total double, most double, size double", "__s")
 
-    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, matched double, total double, most double, size double")
 
+def folded(sample: DataFrame) -> DataFrame:
+    return sample.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
 
-def learned(docs: DataFrame, sample: DataFrame) -> dict[int, tuple[int, float]]:
-    """Insult arcs from the labelled sample: hashes of words and stems that
-    toxic documents have and others hardly do."""
+
+def learned(docs: DataFrame, sample: DataFrame) -> list[dict[int, tuple[int, float]]]:
+    """Insult arcs from the labelled sample (doc_id, y, fold): hashes of words
+    and stems that toxic documents have and others hardly do.  One lexicon for
+    each fold, learned without it, and at the end that of the whole sample."""
     base.ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select((F.col("y") * FOLDS + F.col("fold")).cast("int").alias("cell"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                y = batch.column(0).to_numpy(zero_copy_only=False)
+                cell = batch.column(0).to_numpy(zero_copy_only=False)
                 data, offsets = textvec.text_buffer(batch.column(1))
                 for i, j in textvec.chunks(offsets):
                     part, off = textvec.lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
@@ -206,40 +215,48 @@ def learned(docs: DataFrame, sample: DataFrame) -> dict[int, tuple[int, float]]:
                     doc = np.repeat(np.arange(j - i), np.diff(first))
                     seen = _features(part, starts, ends)
                     h, doc = np.concatenate(seen), np.concatenate([doc] * len(seen))
-                    h, doc = h[h != 0], doc[h != 0]
-                    order = np.lexsort((h, doc))
-                    h, doc = h[order], doc[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    h, label = h[new], y[i:j][doc[new]]
+                    h, doc = textvec.distinct_in_doc(h[h != 0], doc[h != 0])
                     keys, at = np.unique(h, return_inverse=True)
-                    toxic = np.bincount(at, label == 1, minlength=len(keys)).astype(np.int64)
-                    count = np.bincount(at, minlength=len(keys)) - toxic
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(count)], names=["key", "toxic", "clean"])
-
-    counts = rows.mapInArrow(run, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return {}
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
-    found = counts.withColumn("odds", odds).where((F.col("toxic") >= ARC_DOCS) & (F.col("odds") >= ARC_ODDS))
-    found = found.orderBy(F.desc("odds"), F.desc("toxic"), "key").limit(ARCS).collect()
-    return {int(np.int64(r["key"]).view(np.uint64)): (INSULT, r["odds"] / 6.0) for r in found}
+                    where, counts = np.unique(at * 2 * FOLDS + cell[i:j][doc], return_counts=True)
+                    columns = [pa.array(keys[where // (2 * FOLDS)].view(np.int64)), pa.array((where % (2 * FOLDS)).astype(np.int32)), pa.array(counts.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "cell", "n"])
+
+    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
+    counts = rows.mapInArrow(run, "key long, cell int, n long").groupBy("key").agg(*cells)
+    sizes = {(r["y"], r["fold"]): r["count"] for r in sample.groupBy("y", "fold").count().collect()}
+    out = []
+    for left_out in range(FOLDS + 1):
+        use = [f for f in range(FOLDS) if f != left_out]
+        total = [sum(sizes.get((y, f), 0) for f in use) for y in (0, 1)]
+        clean, toxic = (sum((F.col(f"c{y * FOLDS + f}") for f in use), F.lit(0)) for y in (0, 1))
+        odds = F.log((toxic + 0.5) / (total[1] + 1.0)) - F.log((clean + 0.5) / (total[0] + 1.0))
+        out.append((total, toxic.alias("toxic"), odds.alias("odds")))
+    able = F.lit(False)
+    for _, toxic, odds in out:
+        able = able | ((toxic >= ARC_DOCS) & (odds >= ARC_ODDS))
+    counts = base.saved(counts.where(able), "arcs")
+    found = []
+    for total, toxic, odds in out:
+        top = counts.select("key", toxic, odds).where((F.col("toxic") >= ARC_DOCS) & (F.col("odds") >= ARC_ODDS))
+        rows = top.orderBy(F.desc("odds"), F.desc("toxic"), "key").limit(ARCS).collect() if all(total) else []
+        found.append({int(np.int64(r["key"]).view(np.uint64)): (INSULT, r["odds"] / 6.0) for r in rows})
+    base.dropped(counts)
+    return found
 
 
 def _terms() -> list[Column]:
-    words = F.col("size") / 600.0
-    return [F.lit(1.0), F.log1p("total"), F.least(F.col("most"), F.lit(3.0)), F.log1p(F.col("total") / (words + 1.0) * 4.0)]
+    words = F.col("__s.size") / 600.0
+    return [F.lit(1.0), F.log1p("__s.total"), F.least(F.col("__s.most"), F.lit(3.0)), F.log1p(F.col("__s.total") / (words + 1.0) * 4.0)]
 
 
 #: Weights of the logistic without labels.
 DEFAULT = np.array([-3.0, 1.5, 1.5, 0.5])
 
 
-def calibrated(scores: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Ridge logistic regression by Newton steps on the bounded sample."""
-    terms = [t.alias(f"t{i}") for i, t in enumerate(_terms())]
-    rows = scores.join(F.broadcast(sample), "doc_id").select("y", *terms).toPandas()
+def calibrated(scores: DataFrame) -> np.ndarray:
+    """Ridge logistic regression by Newton steps over the bounded sample's
+    scores (y, __s)."""
+    rows = scores.select("y", *[t.alias(f"t{i}") for i, t in enumerate(_terms())]).toPandas()
     if rows["y"].nunique() < 2:
         return DEFAULT
     x, y = rows.drop(columns="y").to_numpy(float), rows["y"].to_numpy(float)
@@ -255,11 +272,14 @@ def calibrated(scores: DataFrame, sample: DataFrame) -> np.ndarray:
 
 
 def classify(docs: DataFrame, labels: DataFrame, training: Column, keep: tuple[str, ...] = (), limit: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, `keep`, score of every row of `docs`."""
-    sample = base.labelled_sample(labels, "toxic", training, limit)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    lexicon = Lexicon.of(learned(docs, sample) | fixed_lexicon())
-    weights = calibrated(_scores(known, lexicon), sample)
+    """doc_id, `keep`, score of every row of `docs`.  The logistic is fitted on
+    scores by arcs that were learned without the scored fold."""
+    sample = folded(base.labelled_sample(labels, "toxic", training, limit))
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    arcs = learned(docs, sample)
+    lexicons = [Lexicon.of(a | fixed_lexicon()) for a in arcs]
+    held = [_scores(known.where(F.col("fold") == k), lexicons[k]) for k in range(FOLDS)]
+    weights = calibrated(reduce(DataFrame.union, held))
     odds = sum((F.lit(float(w)) * t for w, t in zip(weights[1:], _terms()[1:], strict=True)), F.lit(float(weights[0])))
-    out = _scores(docs, lexicon, keep)
-    return out.select("doc_id", *keep, (1 / (1 + F.exp(-odds))).alias("score"))
+    out = _scores(base.packed(docs, ["doc_id", "text"], keep, ["doc_id", "score"]), lexicons[FOLDS])
+    return out.select("doc_id", *base.unpacked(keep), (1 / (1 + F.exp(-odds))).alias("score"))
