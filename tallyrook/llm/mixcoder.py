@@ -1,162 +1,216 @@
 """Adaptive context-mixing range coder for token ids.
 
 A segment is coded in blocks of a fixed number of ids.  Every block starts from
-a fresh model and a fresh coder and has its own checksum; the blocks of a
-segment run as lanes side by side, one id of each per step, so that a step is a
-few array operations.
-
-Model of a block.  Order 2 and order 1 each keep, by a hash of the last two ids
-or the last id, the id that followed and a confidence; order 0 codes by
-frequency rank.  An event says which prediction holds: order 2, order 1, or a
-literal of rank class c (the ranks from 4 * (2**c - 1), 2**(c + 2) of them),
-whose place in the class follows in c + 2 bits.  Event counts are kept overall (order 0), by the class of the last id
-(order 1) and by the confidences of both predictions (order 2); the mixture is
-their sum, and what a count adds in a context is the context's weight, which
-grows while the context predicts better than the mixture.
-
-All numbers are integers, held in float32 where they stay below 2**24, so an
-encoder and a decoder on different machines agree.
+a fresh adaptive model and a fresh coder and has its own checksum, so a damaged
+block costs its own ids only.  The blocks of a segment run as lanes side by
+side, one id of each per step, so a step is a few array operations.
+
+Predictions.  Order 0: the segment's ids by falling frequency.  Order 1: for
+each id, the ids that follow it more than once, by falling frequency.  Order 2:
+for a hash of the last two ids, the id that follows most often, with a
+confidence.  These tables stand at the head of the segment.
+
+What a block adapts is the odds between them.  An event says where the next id
+is: it is the guess of order 2; or it has a rank of class c among the followers
+of the last id (2 ** (c + 1) ranks from 2 * (2**c - 1)), and c + 1 bits say
+which; or it is named by its order-0 rank.  Event counts are kept overall, by
+the last event, and by the confidence of order 2; the mixture is their sum, and
+what a count adds in a context is the context's weight, which grows while the
+context predicts better than the mixture.  Events are arithmetically coded by
+the mixture; the bits inside a class are even and stored as they are.
+
+All numbers are whole, held in floats where these are exact, so an encoder and
+a decoder on different machines agree.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
 BLOCK = 2048
 EVENTS = 16
-_SLOTS2, _SLOTS1 = 4096, 2048
-_SLOTS = _SLOTS2 + _SLOTS1
-_ROWS = 32  # contexts of a lane: 1 of order 0, 15 of order 1, 16 of order 2
-_NONE = 0xFFFF
-_LOW32, _LOW16 = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
-_S16, _S32 = np.uint64(16), np.uint64(32)
-_FLOOR = np.uint64(1 << 32)
+_GUESS, _ESCAPE = 0, EVENTS - 1
+_CLASSES = EVENTS - 2
+_RANKS = 2 * ((1 << _CLASSES) - 1)
+_ROWS = 1 + EVENTS + 16  # contexts of a lane
+_SLOTS = 1 << 16
+#: Distinct ids that a segment may have; one with more is cut in two.
+DISTINCT = 65_535
+#: How often a context of order 2 must be seen, and confidences' least shares.
+_SEEN, _SHARES = 12, (0.2, 0.45, 0.75)
+_WEIGHTS, _LEAST, _MOST = (2, 6, 8), 1, 12
+_FLOOR = float(1 << 32)
+_TOP = float(1 << 48)
+_LOW32, _S16, _S32 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
 _SUM = np.tril(np.ones((EVENTS, EVENTS), np.float32))
 _ONES = np.ones(EVENTS, np.float32)
-#: What a confidence (0 to 3) gains by a miss and by a hit, shifted above the id.
-_GAIN = (np.array([0, -1, -1, -2, 1, 1, 1, 0], np.int64) << 16).astype(np.uint32)
-#: Ids must be below this.
-ID_LIMIT = _NONE
+_FIRST = np.array([0, *[2 * ((1 << c) - 1) for c in range(_CLASSES)], 0], np.int32)
+
+
+@dataclass
+class Tables:
+    ids: np.ndarray  # by order-0 rank; all else speaks of these ranks
+    begin: np.ndarray  # of an id's followers
+    follow: np.ndarray
+    guess: np.ndarray  # by slot of the last two ids: id + (confidence << 16)
+
+    @property
+    def bits(self) -> np.ndarray:
+        """Bits inside each event."""
+        return np.array([0, *range(1, _CLASSES + 1), max(1, (len(self.ids) - 1).bit_length())], np.int32)
+
+
+def _slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return ((last * 40503 + before * 25717) ^ (before >> 5)) & (_SLOTS - 1)
+
+
+def _previous(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last id and the one before, 0 at a block's start."""
+    last, before = np.zeros(rows.shape, np.uint32), np.zeros(rows.shape, np.uint32)
+    last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
+    return last, before
+
+
+def _tables(rows: np.ndarray, ids: np.ndarray) -> tuple[Tables, Callable[[np.ndarray], np.ndarray]]:
+    """The tables, and what gives the ranks of ids among the followers of the
+    last ones, by last * len(ids) + id; -1 where they aren't listed."""
+    n = np.uint32(len(ids))
+    last, before = _previous(rows)
+    pairs, count = np.unique(last * n + rows, return_counts=True)
+    listed = count > 1
+    pairs, count = pairs[listed].astype(np.int64), count[listed]
+    order = np.lexsort((pairs, -count, pairs // n))
+    pairs = pairs[order]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(pairs // n, minlength=n))]).astype(np.int64)
+    rank = (np.arange(len(pairs)) - begin[pairs // n]).astype(np.int32)
+    rank[rank >= _RANKS] = -1
+    if len(ids) ** 2 <= 1 << 24:
+        table = np.full(len(ids) ** 2, -1, np.int32)
+        table[pairs] = rank
+        ranks = table.take
+    else:
+        by = np.argsort(pairs)
+        sorted_ = np.append(pairs[by], -1).astype(np.uint32)  # so that no place is beyond the end
+
+        def ranks(cells: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(sorted_[:-1], cells)
+            return np.where((sorted_[at] == cells) & (at < len(by)), np.append(rank[by], -1)[at], -1)
+
+    slots, count = np.unique(_slot(before, last) * n + rows, return_counts=True)
+    del last, before
+    slot = slots // n
+    first = np.flatnonzero(np.diff(slot, prepend=slot[0] + np.uint32(1)))
+    total, most = np.add.reduceat(count, first), np.maximum.reduceat(count, first)
+    run = np.repeat(np.arange(len(first)), np.diff(first, append=len(slot)))
+    top = np.flatnonzero(count == most[run])
+    top = top[np.unique(run[top], return_index=True)[1]]
+    sure = np.where(total >= _SEEN, np.searchsorted(_SHARES, most / total, "right"), 0)
+    guess = np.zeros(_SLOTS, np.uint32)
+    guess[slot[first]] = np.where(sure > 0, slots[top] % n + (sure << 16), 0)
+    return Tables(ids, begin, (pairs % n).astype(np.uint16), guess), ranks
 
 
 class Model:
-    """State of all lanes.  Predictions are kept as id + (confidence << 16)."""
+    """Event counts of all lanes."""
 
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
         self.rows = self.lanes * EVENTS
-        self.memo = np.full(lanes * _SLOTS, _NONE, np.uint32)
-        self.memo_base = np.stack([self.lanes * _SLOTS, self.lanes * _SLOTS + _SLOTS2])
         self.counts = np.zeros((lanes * _ROWS, EVENTS), np.float32)
         self.counts[::_ROWS] = 1
         self.flat = self.counts.reshape(-1)
-        self.base = np.stack([self.lanes * _ROWS, self.lanes * _ROWS + 1, self.lanes * _ROWS + 16])
-        self.at, self.hash = np.empty_like(self.base), np.empty((2, lanes), np.int64)
-        # a context's weight is what a count adds to it
-        self.weight = np.repeat(np.array([[4], [12], [16]], np.float32), lanes, axis=1)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.kind = np.full(lanes, 14, np.int64)  # class of the last id
+        self.base = np.stack([self.lanes * _ROWS, self.lanes * _ROWS + 1, self.lanes * _ROWS + 1 + EVENTS])
+        self.at = self.base.copy()
+        self.weight = np.repeat(np.array(_WEIGHTS, np.float32)[:, None], lanes, axis=1)
+        self.last = np.zeros(lanes, np.int64)  # last event
         self.steps = 0
 
-    def predict(self) -> None:
-        """Sets the predicted ids, the mixed event weights f (lane, event),
-        their running sums (event, lane) and totals."""
-        mixed = self.last * 40503
-        np.bitwise_and(mixed + self.before * 25717 + (self.before >> 7), _SLOTS2 - 1, out=self.hash[0])
-        np.bitwise_and(mixed + (self.last >> 9), _SLOTS1 - 1, out=self.hash[1])
-        self.hash += self.memo_base
-        self.m = self.memo.take(self.hash)
-        self.guess, self.sure = self.m & np.uint32(_NONE), self.m >> np.uint32(16)
-        np.copyto(self.at, self.base)
-        self.at[1] += self.kind
-        self.at[2] += self.sure[0] * np.uint32(4) + self.sure[1]
+    def mix(self, sure: np.ndarray) -> None:
+        """Sets the mixed event weights f (lane, event), their running sums
+        (event, lane) and totals."""
+        np.add(self.base[1], self.last, out=self.at[1])
+        np.add(self.base[2], sure * 4 + (self.last + 3) // 5, out=self.at[2])
         self.seen = self.counts.take(self.at, axis=0)
         self.f = self.seen[0] + self.seen[1]
         self.f += self.seen[2]
         self.sums = _SUM @ self.f.T
         self.total = self.sums[EVENTS - 1]
 
-    def update(self, event: np.ndarray, own: np.ndarray, ids: np.ndarray, kinds: np.ndarray) -> None:
-        if self.steps % 8 == 0:
+    def part(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of an event."""
+        own = self.f.reshape(-1).take(self.rows + event)
+        return self.sums.reshape(-1).take(event * len(self.lanes) + self.lanes) - own, own
+
+    def update(self, event: np.ndarray, own: np.ndarray) -> None:
+        if self.steps % 16 == 0:
             got = np.take_along_axis(self.seen, event[None, :, None], axis=2)[:, :, 0]
             better = got * self.total > own * (self.seen @ _ONES)
             self.weight += np.where(better, np.float32(1), np.float32(-1))
-            np.clip(self.weight, 2, 24, out=self.weight)
+            np.clip(self.weight, _LEAST, _MOST, out=self.weight)
         self.steps += 1
         self.at *= EVENTS
         self.at += event
         self.flat[self.at] = self.flat.take(self.at) + self.weight
-        ids32 = ids.astype(np.uint32)
-        case = ((self.guess == ids32).astype(np.uint32) << np.uint32(2)) | self.sure
-        self.memo[self.hash] = np.where(case == 0, ids32, self.m + _GAIN.take(case))
-        self.before, self.last, self.kind = self.last, ids, kinds
+        np.copyto(self.at[0], self.base[0])
+        self.last = event
 
 
-def _classes(ranks: np.ndarray) -> np.ndarray:
-    """floor(log2(rank / 4 + 1)), exactly."""
-    return np.frexp((ranks + 4).astype(np.float64))[1].astype(np.int64) - 3
+def _packed(values: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each lane's values (lane, step) one after another in 16-bit words of
+    their bits, the lanes one after another; how many words each lane has."""
+    used = (bits.sum(1) + 15) // 16
+    flat_bits, flat = bits.reshape(-1).astype(np.int64), values.reshape(-1).astype(np.int64)
+    inside = np.cumsum(bits, axis=1, dtype=np.int64) - bits
+    start = (inside + 16 * (np.cumsum(used) - used)[:, None]).reshape(-1)
+    word, shift = start >> 4, 32 - (start & 15) - flat_bits
+    wide = flat << shift  # two words from `word` on
+    n = int(used.sum()) + 1
+    out = np.bincount(word, wide >> 16, minlength=n)[:n].astype(np.int64)
+    out[1:] += np.bincount(word, wide & 0xFFFF, minlength=n)[: n - 1].astype(np.int64)
+    return out[:-1].astype("<u2"), used
 
 
-def _bits(event: np.ndarray) -> np.ndarray:
-    """Bits that follow an event; for a literal of class c, c + 2."""
-    return np.where(event >= 2, event, 0).astype(np.uint64)
-
-
-def _unit(span: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """floor(span / total): span is below 2**49 and total below 2**24, so a
-    double's quotient can't be rounded up to the next whole number."""
-    return (span.astype(np.float64) / total.astype(np.float64)).astype(np.uint64)
-
-
-def _encode_lanes(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids: one row per lane.  16-bit words of all lanes one after another, and
-    how many each lane has."""
-    lanes, n = ids.shape
-    steps = np.ascontiguousarray(ids.T)
-    ranks = rank[steps]
-    kinds = _classes(ranks)
-    below = ranks + 4 - (np.int64(4) << kinds)  # place inside the class
+def _coded(event: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Arithmetic coding of events (step, lane): 16-bit words of all lanes one
+    after another, and how many each lane has."""
+    n, lanes = event.shape
     model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    words, at = np.zeros((n + n // 2 + 16, lanes), np.uint32), np.zeros(lanes, np.int64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _TOP)
+    words, at = np.zeros((n // 3 + 64, lanes), np.uint32), np.zeros(lanes, np.int64)
 
-    def shift() -> None:
+    def grown() -> None:
         nonlocal words
-        while True:
-            m = np.flatnonzero(span < _FLOOR)
-            if not len(m):
-                return
-            if at.max() + 4 >= len(words):
-                words = np.concatenate([words, np.zeros_like(words)])
-            words[at[m], m] = low[m] >> _S32
-            at[m] += 1
-            low[m] = (low[m] & _LOW32) << _S16
-            span[m] <<= _S16
+        if at.max(initial=0) + 8 >= len(words):
+            words = np.concatenate([words, np.zeros_like(words)])
 
     for t in range(n):
-        model.predict()
-        x, kind = steps[t], kinds[t]
-        event = np.where(model.guess[0] == x, 0, np.where(model.guess[1] == x, 1, kind + 2))
-        f = model.f.reshape(-1).take(model.rows + event)
-        start = model.sums.reshape(-1).take(event * lanes + model.lanes) - f
-        unit = _unit(span, model.total)
-        low += start.astype(np.uint64) * unit
-        np.multiply(f.astype(np.uint64), unit, out=span)
-        shift()
-        span >>= _bits(event)
-        value = np.where(event >= 2, below[t], 0).astype(np.uint64)
-        low += value * span
-        shift()
-        model.update(event, f, x, kind)
+        e = event[t].astype(np.int64)
+        model.mix(sure[t].astype(np.int64))
+        start, own = model.part(e)
+        unit = span / model.total
+        np.floor(unit, out=unit)
+        low += (start * unit).astype(np.uint64)
+        np.multiply(own, unit, out=span)
+        if t % 4 == 0:
+            grown()
+        while len(m := np.flatnonzero(span < _FLOOR)):
+            k, x = at[m], low[m]
+            words[k, m] = x >> _S32
+            at[m] = k + 1
+            low[m] = (x & _LOW32) << _S16
+            span[m] *= 65536.0
+        model.update(e, own)
     for _ in range(3):
-        if at.max() + 4 >= len(words):
-            words = np.concatenate([words, np.zeros_like(words)])
+        grown()
         words[at, model.lanes] = low >> _S32
         at += 1
         low = (low & _LOW32) << _S16
+    words = words[: at.max()]
     for j in range(len(words) - 1, 0, -1):  # carries
         words[j - 1] += words[j] >> 16
         words[j] &= 0xFFFF
@@ -165,95 +219,159 @@ def _encode_lanes(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.nda
     return words.T[used].astype("<u2"), at
 
 
-def _decode_lanes(words: np.ndarray, counts: np.ndarray, n: int, by_rank: np.ndarray) -> np.ndarray:
-    lanes = len(counts)
-    flat = np.concatenate([words, np.zeros(4, "<u2")]).astype(np.uint64)
-    at = np.cumsum(counts) - counts
+def _decoded(words: np.ndarray, used: np.ndarray, raw: np.ndarray, raw_used: np.ndarray, n: int, t: Tables) -> np.ndarray:
+    """Order-0 ranks (lane, step)."""
+    lanes = len(used)
+    flat = np.concatenate([words, np.zeros(4, "<u2")]).astype(np.float64)
+    at, end = np.cumsum(used) - used, len(words) + 3
+    wide = np.concatenate([raw, np.zeros(2, "<u2")]).astype(np.int64)
+    wide = (wide[:-1] << 16) | wide[1:]
+    place = 16 * (np.cumsum(raw_used) - raw_used)
     model = Model(lanes)
-    code, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    code, span = np.zeros(lanes), np.full(lanes, _TOP)
     for _ in range(3):
-        code = (code << _S16) | flat[at]
+        code = code * 65536.0 + flat.take(at, mode="clip")
         at += 1
+    bits, first = t.bits.astype(np.int64), _FIRST.astype(np.int64)
+    masks = (np.int64(1) << bits) - 1
+    follow = t.follow.astype(np.int64) if len(t.follow) else np.zeros(1, np.int64)
+    begin, guess, top = t.begin, t.guess.astype(np.int64), len(t.ids) - 1
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     out = np.zeros((n, lanes), np.uint16)
-    end = len(flat) - 1
-
-    def shift() -> None:
-        while True:
-            m = np.flatnonzero(span < _FLOOR)
-            if not len(m):
-                return
-            span[m] <<= _S16
-            code[m] = (code[m] << _S16) | flat[np.minimum(at[m], end)]
-            at[m] += 1
-
-    kinds_by_id = np.zeros(ID_LIMIT + 1, np.int64)
-    kinds_by_id[by_rank] = _classes(np.arange(len(by_rank)))
-    for t in range(n):
-        model.predict()
-        unit = _unit(span, model.total)
-        value = np.minimum((code // unit).astype(np.float32), model.total - 1)
-        event = np.add.reduce(model.sums <= value, axis=0, dtype=np.int8).astype(np.int64)
-        f = model.f.reshape(-1).take(model.rows + event)
-        start = model.sums.reshape(-1).take(event * lanes + model.lanes) - f
-        code -= start.astype(np.uint64) * unit
-        np.multiply(f.astype(np.uint64), unit, out=span)
-        shift()
-        span >>= _bits(event)
-        low = code // span
-        code -= low * span
-        shift()
-        rank = low.astype(np.int64) + (np.int64(1) << event) - 4
-        literal = by_rank.take(rank, mode="clip")
-        x = np.where(event == 0, model.guess[0], np.where(event == 1, model.guess[1], literal)).astype(np.int64)
-        out[t] = x
-        model.update(event, f, x, kinds_by_id.take(x))
+    for step in range(n):
+        g = guess.take(_slot(before, last))
+        model.mix(g >> 16)
+        unit = span / model.total
+        np.floor(unit, out=unit)
+        value = np.floor(code / unit)
+        value -= value * unit > code  # a rounded quotient
+        event = np.add.reduce(model.sums <= value, axis=0, dtype=np.int64)
+        np.minimum(event, EVENTS - 1, out=event)
+        start, own = model.part(event)
+        code -= start * unit
+        np.multiply(own, unit, out=span)
+        while len(m := np.flatnonzero(span < _FLOOR)):
+            k = at[m]
+            span[m] *= 65536.0
+            code[m] = code[m] * 65536.0 + flat.take(k, mode="clip")
+            at[m] = np.minimum(k + 1, end)
+        size = bits.take(event)
+        inside = (wide.take(place >> 4, mode="clip") >> (32 - size - (place & 15))) & masks.take(event)
+        place += size
+        x = follow.take(begin.take(last) + first.take(event) + inside, mode="clip")
+        for kind, direct in ((_GUESS, g & 0xFFFF), (_ESCAPE, np.minimum(inside, top))):
+            m = np.flatnonzero(event == kind)
+            x[m] = direct[m]
+        out[step] = x
+        model.update(event, own)
+        before, last = last, x
     return out.T
 
 
+def _section(*arrays: np.ndarray) -> bytes:
+    body = zlib.compress(b"".join(a.tobytes() for a in arrays), 6)
+    return struct.pack("<II", len(body), zlib.crc32(body)) + body
+
+
 def encode(ids: np.ndarray) -> bytes:
-    """One segment.  Header: number of ids, ids a block, blocks, then the ids in
-    use by falling frequency (deflated), each block's checksum and words, and
-    the words."""
+    """One segment: the number of ids, ids a block, blocks, distinct ids,
+    listed followers and guesses; the tables; each block's checksum and sizes;
+    the blocks' events; the blocks' inner bits."""
     ids = np.asarray(ids, np.int64)
     n = len(ids)
-    if n and (ids.min() < 0 or ids.max() >= ID_LIMIT):
-        raise ValueError("ids must be at least 0 and below 65535")
+    if n and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must be at least 0 and below 2**32")
     if n == 0:
-        return struct.pack("<4sIII", b"TRMC", 0, 0, 0)
-    counts = np.bincount(ids)
-    by_rank = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
-    rank = np.zeros(len(counts), np.int64)
-    rank[by_rank] = np.arange(len(by_rank))
+        return struct.pack("<4sI", b"TRM2", 0)
+    if ids.max() < 1 << 22:
+        seen = np.bincount(ids)
+        used_ids = np.flatnonzero(seen)
+        count = seen[used_ids]
+    else:
+        used_ids, count = np.unique(ids, return_counts=True)
+    if len(used_ids) > DISTINCT:  # more than ranks have bits for: two segments
+        a, b = encode(ids[: n // 2]), encode(ids[n // 2 :])
+        return struct.pack("<4sII", b"TRMB", n, len(a)) + a + b
+    used_ids = used_ids[np.lexsort((used_ids, -count))]
+    if ids.max() < 1 << 22:
+        dense_of = np.zeros(int(ids.max()) + 1, np.int32)
+        dense_of[used_ids] = np.arange(len(used_ids))
+        dense = dense_of[ids]
+    else:
+        by = np.argsort(used_ids)
+        dense = by[np.searchsorted(used_ids[by], ids)].astype(np.int32)
     size = min(BLOCK, n)
     blocks = -(-n // size)
-    padded = np.full(blocks * size, by_rank[0], np.int64)
-    padded[:n] = ids
-    rows = padded.reshape(blocks, size)
-    words, used = _encode_lanes(rows, rank)
+    rows = np.zeros(blocks * size, np.uint32)
+    rows[:n] = dense
+    rows = rows.reshape(blocks, size)
+    t, rank_of = _tables(rows, used_ids)
+    event, sure = np.empty((size, blocks), np.int8), np.empty((size, blocks), np.int8)
+    raws, raw_used = [], []
+    for k in range(0, blocks, 64):
+        x = rows[k : k + 64]
+        last, before = _previous(x)
+        g = t.guess.take(_slot(before, last))
+        ranks = rank_of(last * np.uint32(len(used_ids)) + x)
+        kind = np.frexp((ranks + 2).astype(np.float32))[1] - 2  # class of a rank
+        e = np.where((g >> np.uint32(16) > 0) & ((g & np.uint32(0xFFFF)) == x), _GUESS, np.where(ranks >= 0, kind + 1, _ESCAPE))
+        inside = np.where(e == _GUESS, 0, np.where(e == _ESCAPE, x, ranks - _FIRST.take(e)))
+        raw, n_raw = _packed(inside, t.bits.take(e))
+        raws.append(raw)
+        raw_used.append(n_raw)
+        event[:, k : k + 64], sure[:, k : k + 64] = e.T, (g >> np.uint32(16)).T
+    raw, raw_used = np.concatenate(raws), np.concatenate(raw_used)
+    words, used = _coded(event, sure)
     sums = np.array([zlib.crc32(r.astype("<u2").tobytes()) for r in rows], "<u4")
-    table = zlib.compress(by_rank.astype("<u2").tobytes(), 6)
-    head = struct.pack("<4sIIII", b"TRMC", n, size, blocks, len(table))
-    return b"".join([head, table, sums.tobytes(), used.astype("<u4").tobytes(), words.tobytes()])
+    places = np.flatnonzero(t.guess)
+    head = struct.pack("<4sIIIIII", b"TRM2", n, size, blocks, len(used_ids), len(t.follow), len(places))
+    tables = _section(used_ids.astype("<u4"), np.diff(t.begin).astype("<u2"), t.follow.astype("<u2"), places.astype("<u2"), t.guess[places].astype("<u4"))
+    return b"".join([head, tables, _section(sums, used.astype("<u4"), raw_used.astype("<u4")), words.tobytes(), raw.tobytes()])
 
 
-def decode(body: bytes) -> np.ndarray:
-    """The ids of a segment; a damaged block raises ValueError."""
+def decode_blocks(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a segment, and which of them stand in sound blocks.  Damage
+    to the tables raises ValueError."""
     magic, n = struct.unpack_from("<4sI", body)
-    if magic != b"TRMC":
+    if magic == b"TRMB":
+        (k,) = struct.unpack_from("<I", body, 8)
+        a, b = decode_blocks(body[12 : 12 + k]), decode_blocks(body[12 + k :])
+        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    if magic != b"TRM2":
         raise ValueError("not a segment")
     if n == 0:
-        return np.zeros(0, np.uint16)
-    size, blocks, length = struct.unpack_from("<III", body, 8)
-    at = 20
-    by_rank = np.frombuffer(zlib.decompress(body[at : at + length]), "<u2").astype(np.int64)
-    at += length
-    sums = np.frombuffer(body, "<u4", blocks, at)
-    used = np.frombuffer(body, "<u4", blocks, at + 4 * blocks).astype(np.int64)
-    words = np.frombuffer(body, "<u2", -1, at + 8 * blocks)
-    if used.sum() != len(words):
-        raise ValueError("segment is cut short")
-    rows = _decode_lanes(words, used, size, by_rank)
-    for k, r in enumerate(rows):
-        if zlib.crc32(r.astype("<u2").tobytes()) != sums[k]:
-            raise ValueError(f"block {k} is damaged")
-    return rows.reshape(-1)[:n]
+        return np.zeros(0, np.uint32), np.zeros(0, bool)
+    size, blocks, distinct, n_follow, n_guess = struct.unpack_from("<IIIII", body, 8)
+    at, sections = 28, []
+    for _ in range(2):
+        length, crc = struct.unpack_from("<II", body, at)
+        part = body[at + 8 : at + 8 + length]
+        if zlib.crc32(part) != crc:
+            raise ValueError("the tables of a segment are damaged")
+        sections.append(zlib.decompress(part))
+        at += 8 + length
+    tables, sizes = sections
+    ids = np.frombuffer(tables, "<u4", distinct)
+    follows = np.frombuffer(tables, "<u2", distinct, 4 * distinct).astype(np.int64)
+    follow = np.frombuffer(tables, "<u2", n_follow, 6 * distinct)
+    places = np.frombuffer(tables, "<u2", n_guess, 6 * distinct + 2 * n_follow)
+    guess = np.zeros(_SLOTS, np.uint32)
+    guess[places] = np.frombuffer(tables, "<u4", n_guess, 6 * distinct + 2 * n_follow + 2 * n_guess)
+    t = Tables(ids, np.concatenate([[0], np.cumsum(follows)]).astype(np.int64), follow, guess)
+    sums, used, raw_used = np.frombuffer(sizes, "<u4").reshape(3, blocks)
+    used, raw_used = used.astype(np.int64), raw_used.astype(np.int64)
+    if len(body) != at + 2 * int(used.sum() + raw_used.sum()):
+        raise ValueError("a segment is cut short")
+    words = np.frombuffer(body, "<u2", int(used.sum()), at)
+    raw = np.frombuffer(body, "<u2", int(raw_used.sum()), at + 2 * len(words))
+    rows = np.ascontiguousarray(_decoded(words, used, raw, raw_used, size, t))
+    good = np.array([zlib.crc32(r.astype("<u2").tobytes()) for r in rows], np.uint32) == sums
+    return ids[np.minimum(rows.reshape(-1)[:n], distinct - 1)], np.repeat(good, size)[:n]
+
+
+def decode(body: bytes) -> np.ndarray:
+    """The ids of a segment; a damaged block raises ValueError."""
+    ids, good = decode_blocks(body)
+    if not good.all():
+        raise ValueError("damaged block")
+    return ids

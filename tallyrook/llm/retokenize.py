@@ -4,7 +4,8 @@ A leaf is a block of whole words with its token count; inner nodes hold sums.
 An edit replaces a range of characters.  Only the blocks it touches, and the
 words at their borders that it may join or cut, are encoded again; sums change
 along one path each, so a count after an edit costs the edited region and the
-logarithm of the number of blocks, not the text.
+logarithm of the number of blocks, not the text.  The leaves' sizes and counts
+can be stored and a tree made from them again without encoding anything.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ class CountTree:
     """Counts of a text that changes.  Blocks end after a space or line feed,
     where the vocabulary never joins tokens."""
 
-    def __init__(self, text: str, encoder: ChunkEncoder):
+    def __init__(self, text: str, encoder: ChunkEncoder | None = None, leaves: tuple[list[int], list[int]] | None = None):
+        """leaves: characters and tokens of each block, as stored before."""
         self.encoder = encoder
         self.encoded_chars = 0
-        self._build(_blocks(text))
-
-    def _build(self, blocks: list[str], counts: list[int] | None = None) -> None:
+        if leaves is None:
+            blocks = cut(text)
+            self._build(blocks, self._count(blocks))
+        else:
+            ends = np.cumsum(leaves[0]).tolist()
+            self._build([text[e - n : e] for e, n in zip(ends, leaves[0], strict=True)] or [""], leaves[1] or [0])
+
+    def _build(self, blocks: list[str], counts: list[int]) -> None:
         self.blocks = blocks
-        counts = self._count(blocks) if counts is None else counts
         self.width = 1 << max(0, (len(blocks) - 1).bit_length())
         self.tokens, self.chars = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
         self.tokens[self.width : self.width + len(blocks)] = counts
@@ -41,7 +47,13 @@ class CountTree:
 
     def _count(self, blocks: list[str]) -> list[int]:
         self.encoded_chars += sum(map(len, blocks))
-        return [len(x) // 4 for x in self.encoder(blocks)]
+        return self.encoder.counts(blocks)
+
+    @property
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each block."""
+        at = slice(self.width, self.width + len(self.blocks))
+        return self.chars[at].tolist(), self.tokens[at].tolist()
 
     @property
     def total(self) -> int:
@@ -74,8 +86,9 @@ class CountTree:
             self.chars[node] += longer
             node //= 2
 
-    def edit(self, start: int, end: int, new: str) -> int:
-        """Replace characters start..end by `new`; the total afterwards."""
+    def region(self, start: int, end: int, new: str) -> tuple[int, int, list[str]]:
+        """First and last block that replacing characters start..end touches,
+        and the blocks that come in their place."""
         start, end = max(0, min(start, self.length)), max(0, min(end, self.length))
         end = max(start, end)
         first, before = self._find(start)
@@ -88,22 +101,32 @@ class CountTree:
         while first > 0 and self.blocks[first - 1] and self.blocks[first - 1][-1] not in " \n":
             first -= 1
             joined = self.blocks[first] + joined
-        parts = _blocks(joined)
+        parts = cut(joined)
         room = last - first + 1
-        if len(parts) > room:
-            if len(parts) > 2 * room + 2:
-                counts = self.tokens[self.width : self.width + len(self.blocks)].tolist()
-                blocks = self.blocks[:first] + parts + self.blocks[last + 1 :]
-                self._build(blocks, counts[:first] + self._count(parts) + counts[last + 1 :])
-                return self.total
+        if room < len(parts) <= 2 * room + 2:
             parts = parts[: room - 1] + ["".join(parts[room - 1 :])]
-        parts += [""] * (room - len(parts))
-        for k, (b, n) in enumerate(zip(parts, self._count(parts), strict=True)):
-            self._set(first + k, b, n)
+        return first, last, parts + [""] * (room - len(parts))
+
+    def put(self, region: tuple[int, int, list[str]], counts: list[int]) -> int:
+        """Put a region's blocks, with their counts, in place; the total."""
+        first, last, parts = region
+        self.encoded_chars += sum(map(len, parts))
+        if len(parts) > last - first + 1:
+            tokens = self.leaves[1]
+            self._build(self.blocks[:first] + parts + self.blocks[last + 1 :], tokens[:first] + counts + tokens[last + 1 :])
+        else:
+            for k, (b, n) in enumerate(zip(parts, counts, strict=True)):
+                self._set(first + k, b, n)
         return self.total
 
+    def edit(self, start: int, end: int, new: str) -> int:
+        """Replace characters start..end by `new`; the total afterwards."""
+        region = self.region(start, end, new)
+        return self.put(region, self.encoder.counts(region[2]))
+
 
-def _blocks(text: str) -> list[str]:
+def cut(text: str) -> list[str]:
+    """Blocks of about LEAF_CHARS, each ending after a space or line feed."""
     out, at = [], 0
     while at < len(text):
         stop = at + LEAF_CHARS

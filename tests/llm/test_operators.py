@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrook.llm import decontaminate, docstats, licences, mixcoder, quality, retokenize, rules, tokenbin, tokencounts, toxicity, urls, wordids
+from tallyrook.llm import decontaminate, docstats, licences, mixcoder, quality, retokenize, rules, textvec, tokenbin, tokencounts, toxicity, urls, wordids, wordtable
 from tallyrook.llm.queries import URL_RULES, vocabulary
 
 ODD = [(1, None), (2, ""), (None, "a b"), (3, "é" * 50), (4, "\n\n"), (4, "a b"), (5, "x " * 40_000)]
@@ -68,13 +68,23 @@ def test_short_items_are_cleaned(spark):
 
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0, int), np.array([5]), np.arange(60000), rng.integers(0, 65535, 5000), np.tile(rng.integers(0, 900, 700), 9), np.minimum(rng.zipf(1.3, 9000), 49407)):
+    for ids in (np.zeros(0, int), np.array([5]), np.array([2**32 - 1, 0]), np.arange(60000), np.arange(140_000) * 30_000, rng.integers(0, 65535, 5000), rng.integers(0, 200_000, 90_000), np.tile(rng.integers(0, 900, 700), 9), np.minimum(rng.zipf(1.3, 9000), 49407)):
         assert (mixcoder.decode(mixcoder.encode(ids)) == ids).all()
-    body = bytearray(mixcoder.encode(np.tile(rng.integers(0, 900, 700), 9)))
-    assert len(body) < 0.75 * len(mixcoder.encode(rng.integers(0, 900, 6300)))  # repeated ids are predicted
-    body[-40] ^= 1
     with pytest.raises(ValueError):
-        mixcoder.decode(bytes(body))
+        mixcoder.encode(np.array([-1]))
+    chain = [0]
+    for _ in range(40_000):  # few followers of each id: orders 1 and 2 predict
+        chain.append(int((chain[-1] * 7 + rng.integers(0, 4)) % 500))
+    body = mixcoder.encode(np.array(chain))
+    assert len(body) * 8 / len(chain) < 6  # tables included; order 0 alone: about 9
+    raw = bytearray(body)
+    raw[-40] ^= 1  # in the last blocks' bits
+    with pytest.raises(ValueError):
+        mixcoder.decode(bytes(raw))
+    ids, good = mixcoder.decode_blocks(bytes(raw))
+    assert (~good).sum() <= mixcoder.BLOCK and (ids[good] == np.array(chain)[good]).all()
+    with pytest.raises(ValueError):
+        mixcoder.decode_blocks(body[:-2])
 
 
 TEXTS = ["", "Hello  World\n\n", "it's 'quoted' <|endoftext|> x", "naïve café — ﬁ 漢字 é", "\t tab\x85nel\xa0nbsp", "a" * 300 + " b", "don't\nI'LL 12345 !!!", " 'sleading", "́ combining"]
@@ -85,7 +95,49 @@ def test_chunked_ids_equal_the_library():
     enc, tok = wordids.ChunkEncoder(path), wordids.tokenizer(path)
     rng = random.Random(8)
     texts = TEXTS + ["".join(rng.choice("abé 'sT\n.,1漢́<|>") for _ in range(60)) for _ in range(200)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["<|endoftext|>", "<|ENDOFTEXT|>x<|endoftext|>y", "A<|startoftext|>B!<|x", "\x0b!a\x1cb\x7fc", "it'S 1's !'s a'street", "a|b|c <| |>", "K" * 700 + "," * 300]
+    pool = list("abB!,éK\u037e\u0301 'sTrveml\n12\t\r\x0b\x1c\x85|<>—ŉ") + ["<|endoftext|>"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    assert enc.by_words
+    for _ in range(2):  # new words, then known ones
+        assert [x.tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    other = wordids.ChunkEncoder(vocabulary("byte_bpe_50k.json"))  # joins spaces with words: whole texts
+    assert not other.by_words
+    assert [x.tolist() for x in other(texts[:60])] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:60]]
+
+
+def test_word_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(wordtable, "WORDS", 50)
+    table = wordtable.WordTable(lambda words: (list(range(len(words))), np.array([len(w) + 1000 * v for w, v in words], np.uint32), np.ones(len(words), np.int32)))
+    rng = random.Random(3)
+    for _ in range(40):
+        words = ["x" * rng.randint(1, 300) + str(rng.randint(0, 60)) for _ in range(80)]
+        data, ends = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([len(w) for w in words])
+        variant = np.array([rng.randint(0, 2) for _ in words])
+        with np.errstate(over="ignore"):
+            ids, size = table.encode(data, ends - [len(w) for w in words], ends, variant)
+        assert ids.tolist() == [len(w) + 1000 * v for w, v in zip(words, variant.tolist(), strict=True)] and (size == 1).all()
+
+
+def test_span_hashes_tell_words_apart():
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 100, 200_000).astype(np.uint8)
+    data[rng.random(len(data)) < 0.2] = 32
+    data[60_000:140_000] = 97  # a word over several pieces
+    with np.errstate(over="ignore"):
+        starts, ends, _ = textvec.words(data, np.array([0, len(data)]), textvec.SPACE)
+        seen: dict[bytes, int] = {}
+        for a, b, h in zip(starts, ends, textvec.span_hashes(data, starts, ends).tolist(), strict=True):
+            assert seen.setdefault(data[a:b].tobytes(), h) == h
+        assert len(set(seen.values())) == len(seen)
+        swap = str.maketrans("ab", "ba")
+        for k in (8, 10, 11, 14):  # texts that agree in polynomials modulo a power of two
+            t = "a"
+            for _ in range(k):
+                t += t.translate(swap)
+            pair = [np.frombuffer(x.encode(), np.uint8) for x in (t, t.translate(swap))]
+            one, two = (textvec.span_hashes(x, np.array([0]), np.array([len(x)]))[0] for x in pair)
+            assert one != two
 
 
 def test_token_files(spark, tmp_path):
@@ -99,6 +151,13 @@ def test_token_files(spark, tmp_path):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (i, at, len(ids), ids)
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+    files = spark.read.parquet(path)
+    middle = F.expr("concat(substring(body, 1, octet_length(body) - 3), unhex('00'), substring(body, octet_length(body) - 1, 2))")
+    files.withColumn("body", F.when(F.octet_length("body") > 100, middle).otherwise(F.col("body"))).write.parquet(path + "x")
+    with pytest.raises(Exception, match="damaged"):
+        tokenbin.read(spark, path + "x").collect()
+    saved = tokenbin.read(spark, path + "x", recover=True).collect()
+    assert len(saved) == len(rows) and any(r["ids_crc32"] is None for r in saved)
     tokenbin.write(docs(spark, rows).limit(0), path + "0", vocabulary("word_bpe_49k.json"), 2)
     assert tokenbin.read(spark, path + "0").count() == 0
 
@@ -126,6 +185,32 @@ def test_counts_under_edits(spark):
     assert got == {1: (2, [2]), 2: (0, []), None: (0, [0, 0])}
 
 
+def test_trees_are_kept(spark):
+    path, rng = vocabulary("word_bpe_49k.json"), random.Random(5)
+    tok = wordids.tokenizer(path)
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    texts = {k: "".join(rng.choice(["word ", "a", "b\n", " ", "é.", "12"]) for _ in range(rng.choice([0, 5, 3000]))) for k in range(20)}
+    kept = tokencounts.trees(spark.createDataFrame([*texts.items(), (None, None)], "doc_id long, text string"), path)
+    for _ in range(3):
+        edits = {k: [(a := rng.randint(0, len(t)), a + rng.choice([0, 3, 900]), rng.choice(["", "x y", "z" * 700])) for _ in range(rng.randint(0, 3))] for k, t in texts.items()}
+        frame = kept.join(spark.createDataFrame([*edits.items()], "doc_id long, edits array<struct<start:long,end:long,new:string>>"), "doc_id", "left")
+        out = tokencounts.counts_under_edits(frame, path, tree="tree", after=True).collect()
+        for r in out:
+            k = r["doc_id"]
+            counts, t = [], texts.get(k, "")
+            assert r["n_tokens"] == count(t)
+            for a, b, new in edits.get(k, []):
+                t = t[:a] + new + t[max(a, min(b, len(t))) :]
+                counts.append(count(t))
+            assert (r["counts"], r["text"], r["n_chars"]) == (counts, t, len(t))
+            assert sum(r["tree"]["leaf_tokens"]) == count(t) and sum(r["tree"]["leaf_chars"]) == len(t)
+            if len(t) > 9000 and not any(len(new) > 3 or b > a + 3 for a, b, new in edits[k]):
+                assert r["encoded_chars"] < len(t) / 2
+            if k is not None:
+                texts[k] = t
+        kept = spark.createDataFrame([(r["doc_id"], r["text"], r["tree"]) for r in out], kept.schema)
+
+
 def plain_counts(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
