@@ -24,7 +24,10 @@ token among the first n - ceil(num * n / den) + 1 of each (its prefix).
 The result needs links only up to connectivity, so pairs inside a component
 are never listed.  Nulls: a null or wordless text has an empty set and links
 with nothing; a null id links with nothing and has a null component.  Rows that
-repeat an id count as one node with several sets.
+repeat an id count as one node with several sets.  Ties in any order are broken
+by hash or id.  An empty table gives no rows; other columns are ignored,
+whatever their names; a long text's set is held whole by one worker.  Shingles
+are told by 64-bit hashes, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -144,7 +147,10 @@ def _prefixes(docs: DataFrame, like: Likeness, moved: np.ndarray, ahead: bool) -
 
 
 def _heavy(tokens: DataFrame, limit: int) -> np.ndarray:
-    rows = tokens.groupBy("token").count().where(F.col("count") > GROUP).orderBy(F.desc("count"), "token").limit(limit).select("token").toPandas()
+    top = tokens.groupBy("token").count().where(F.col("count") > GROUP).orderBy(F.desc("count"), "token").limit(limit).select("token")
+    top = base.saved(top, "heavy")
+    rows = top.toPandas()
+    base.dropped(top)
     return rows["token"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -247,15 +253,15 @@ def verified(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
 
-    near = base.restricted_rows(docs, base.saved(ids(pairs), "near"), "left_semi")
-    sketches = base.saved(_sketches(near, like), "sketches")
+    near = base.saved(ids(pairs), "near")
+    sketches = base.saved(_sketches(base.restricted_rows(docs, near, "left_semi"), like), "sketches")
     left = _paired(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     left = base.saved(left.mapInArrow(sift, "a long, b long"), "sifted")
-    base.dropped(sketches)
-    close = base.restricted_rows(docs, base.saved(ids(left), "close"), "left_semi")
-    whole = base.saved(_whole_sets(close, like), "sets")
+    base.dropped(sketches, near)
+    close = base.saved(ids(left), "close")
+    whole = base.saved(_whole_sets(base.restricted_rows(docs, close, "left_semi"), like), "sets")
     out = base.saved(_paired(left, whole, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long").distinct(), "links")
-    base.dropped(whole)
+    base.dropped(whole, close, left)
     return out
 
 
@@ -282,7 +288,6 @@ def pivot_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
 
 def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Likeness) -> DataFrame | None:
     """Pairs of different components that large groups may still hide."""
-    spark = docs.sparkSession
     labelled = rows.select("token", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
@@ -330,46 +335,48 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     # at a pair's first common token, no more than what follows on both sides is shared
     fits = F.expr(f"ka != kb and {like.num} * (na + nb) <= {like.num + like.den} * (1 + least(ca - ta, cb - tb))") & _sizes_fit("na", "nb", like)
     found = minor.join(other, ["token", "bucket"]).where(fits)
-    del spark
-    return base.saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "residual")
+    out = base.saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "residual")
+    base.dropped(members, tokens, known, ranked)
+    return out
 
 
 def join(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id of every row of `docs`."""
-    spark = docs.sparkSession
-    base.ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base.ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     prints = base.saved(fingerprints(docs, like), "fingerprints")
     real = prints.where("n > 0 and doc_id is not null")
-    first = real.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    again = base.saved(real.join(first.where("copies > 1"), ["fa", "fb"]).select("doc_id", "fa", "fb", "rep"), "copies")
+    # written first, so that the join below sees two shuffles and may split a large group
+    reps = real.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    reps = base.saved(reps.select("fa", "fb", "rep"), "reps")
+    again = base.saved(real.select("doc_id", "fa", "fb").join(reps, ["fa", "fb"]), "copies")
     repeated = real.groupBy("doc_id").count().where("count > 1").select("doc_id")
     several = base.saved(again.join(repeated, "doc_id", "left_semi").select("doc_id", "rep").where("doc_id != rep"), "several")
-    idle = again.where("doc_id != rep").select("doc_id").distinct().join(repeated, "doc_id", "left_anti")
-    sources = base.restricted_rows(docs.where("doc_id is not null"), base.saved(idle, "idle"), "left_anti")
+    idle = base.saved(again.where("doc_id != rep").select("doc_id").distinct().join(repeated, "doc_id", "left_anti"), "idle")
+    sources = base.restricted_rows(docs.where("doc_id is not null"), idle, "left_anti")
 
     moved = moved_tokens(sources, like)
-    base.freed(spark)
-    from pyspark.sql import Window as W
-
-    rows = _prefixes(sources, like, moved, False)
-    sized = rows.where("not moved").withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1")
-    sized = base.saved(sized, "prefixes")
-    large = sized.where(F.col("members") > GROUP).select("token", "doc_id", "n", "own")
-    if len(moved):
-        large = large.union(rows.where("moved").select("token", "doc_id", "n", "own"))
-    large = base.saved(large, "large")
-    base.freed(spark)
+    rows = base.saved(_prefixes(sources, like, moved, False), "prefixes")
+    counts = rows.where("not moved").groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    sized = base.saved(rows.where("not moved").drop("moved").join(counts, "token"), "sized")
+    large = sized.where(F.col("members") > GROUP).drop("members").unionByName(rows.where("moved").drop("moved"))
+    large = base.saved(large.select("token", "doc_id", "n", "own"), "large")
+    base.dropped(rows)
     small = sized.where(F.col("members") <= GROUP)
     pairs = base.saved(small_group_pairs(small, like).union(pivot_pairs(large, like)).distinct(), "pairs")
-    links = verified(pairs, sources, like).union(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    base.dropped(sized)
+    close = verified(pairs, sources, like)
+    links = close.union(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = components(links, "a", "b")
     more = residual_pairs(sources, large, groups, like)
     if more is not None and not more.isEmpty():
-        groups = components(links.union(verified(more, sources, like)), "a", "b")
-    base.freed(spark)
-    own = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
-    of_rep = groups.select(F.col("node").alias("rep"), F.col("component").alias("of_rep"))
+        closer = verified(more, sources, like)
+        old, groups = groups, components(links.union(closer), "a", "b")
+        base.dropped(old, closer)
+    base.dropped(several, idle, large, pairs, close, *([more] if more is not None else []))
+    # a copy has its first copy's component; by the id itself, where there is none, so that no value is hot
     copy = again.select("doc_id", "fa", "fb", "rep").distinct()
-    out = prints.join(copy, ["doc_id", "fa", "fb"], "left").join(own, "doc_id", "left").join(of_rep, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "of_rep", "rep", "doc_id").alias("component_id"))
+    out = prints.join(copy, ["doc_id", "fa", "fb"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    few = groups.count() <= base.BROADCAST_ROWS
+    out = out.join(F.broadcast(groups) if few else groups, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
