@@ -24,25 +24,23 @@ from tallyrook.llm.queries import THRESHOLD, vocabulary
 LIKE = jaccard.Likeness(size=5, num=80, den=100)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text, and every column but text in one struct."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__rest")
-    return docs.select("doc_id", "lang", "text", rest)
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and, out of the way of any name, the whole row."""
+    return docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
-def _unpacked(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    out = {"text": F.col(text), "n_chars": F.length(text).cast("long")} if text != "text" else {"text": F.col(text)}
-    return rows.select(*[out.get(c, F.col(f"__rest.`{c}`")).alias(c) for c in columns])
+def _rows(found: DataFrame, columns: list[str]) -> DataFrame:
+    return found.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = rules.apply(_packed(docs), table(spark, sf_dir, "labels"), keep=("text", "__rest"))
-    return _unpacked(judged.where("kept"), docs.columns)
+    judged = rules.apply(_named(docs), table(spark, sf_dir, "labels"), keep=("__row",))
+    return _rows(judged.where("kept"), docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(_packed(docs), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0, keep=("text", "__rest"))
-    return _unpacked(scored.where(F.col("score") >= THRESHOLD), docs.columns)
+    scored = quality.classify(_named(docs), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0, keep=("__row",))
+    return _rows(scored.where(F.col("score") >= THRESHOLD), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Occurrences of benchmark windows, and of items shorter than a window, are
     cut out of the texts."""
-    found = decontaminate.scan(_packed(docs), table(spark, sf_dir, "benchmark"), window=8, keep=("__rest",), clean=True)
-    return _unpacked(found, docs.columns, "cleaned")
+    found = decontaminate.scan(_named(docs), table(spark, sf_dir, "benchmark"), window=8, keep=("__row",), clean=True)
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
