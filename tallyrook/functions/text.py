@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,19 +24,51 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_BLANK}+|{_BLANK}+\z", "")
 
 
-def match_starts(text: Column, pattern: str) -> Column:
-    """0-based positions (characters) of all matches of `pattern`."""
+#: Numbers added up at a time by `running_sums`.
+_RUN = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: inside a higher-order function
+    an outer expression is computed again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running_sums(numbers: Column) -> Column:
+    """For each element of an array of integers the sum of those before it.
+    Sums are made in runs, so the work hardly grows faster than the array."""
+    zero = F.lit(0)
+
+    def before(xs: Column) -> Column:
+        return let(xs, lambda v: F.transform(v, lambda x, k: F.aggregate(F.slice(v, F.lit(1), k), zero, lambda s, y: s + y)))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int"))
+        return F.transform(starts, lambda b: F.slice(v, b * _RUN + 1, F.lit(_RUN)))
+
+    def joined(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, zero, lambda s, y: s + y))
+        return F.flatten(F.zip_with(runs, before(totals), lambda r, s: F.transform(before(r), lambda x: x + s)))
+
+    return let(numbers, lambda v: F.when(F.size(v) > 0, let(cut(v), joined)).otherwise(F.array().cast("array<int>")))
+
+
+def places(text: Column, pattern: str, size: Callable[[Column], Column] = F.length) -> Column:
+    """array<struct<start, end>> of all matches of `pattern`, from 0; `size`
+    measures text (in characters, or in bytes)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda a, b: F.struct(size(a).alias("gap"), size(b).alias("own")))
+
+    def placed(p: Column) -> Column:
+        sums = running_sums(F.transform(p, lambda x: x["gap"] + x["own"]))
+        return F.zip_with(p, sums, lambda x, s: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + x["own"]).alias("end")))
 
-    def width(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
+    return let(pairs, placed)
 
-    def start(k: Column) -> Column:
-        return width(F.slice(between, F.lit(1), k)) + width(F.slice(found, F.lit(1), k - 1))
 
-    none = F.array().cast("array<int>")
-    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(1), F.size(found)), start)).otherwise(none)
+def match_starts(text: Column, pattern: str) -> Column:
+    """0-based positions (characters) of all matches of `pattern`."""
+    return F.transform(places(text, pattern), lambda x: x["start"])
 
 
 def blanked(text: Column, pattern: str) -> Column:
@@ -51,12 +85,7 @@ def newline_offsets(code: Column) -> Column:
     body = F.split(code, LINE_END, -1)
     ends = F.regexp_extract_all(code, F.lit(LINE_END), F.lit(0))
     size = F.zip_with(body, ends, lambda a, b: F.octet_length(a) + F.coalesce(F.octet_length(b), F.lit(0)))
-    sums = F.aggregate(
-        size,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
-    )["out"]
-    return F.slice(sums, F.lit(1), F.size(lines(code)))
+    return F.slice(running_sums(size), F.lit(1), F.size(lines(code)))
 
 
 def decode_utf8(content: Column) -> Column:

@@ -55,6 +55,25 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
 
 
+def head(df: DataFrame, order: tuple[str, ...], n: int = 5) -> DataFrame:
+    """The first n rows by `order`."""
+    return df.orderBy(*order).limit(n)
+
+
+#: Ranges that a running mean is cut into.
+RANGES = 200
+
+
 def running_mean(df: DataFrame, value: str, order: str, group: str) -> DataFrame:
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("running_mean", F.avg(value).over(w))
+    """`df` with the mean of `value` over the group's rows up to this one by
+    the numeric column `order`.  Rows are cut into ranges of `order`; what lies
+    before a range comes from sums per range, so no task holds a whole group."""
+    bounds = sorted(set(df.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.002)))
+    rows = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda x: x < F.col(order))))
+    sums = rows.groupBy(group, "__b").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    before = W.partitionBy(group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # RANGES rows a group
+    starts = sums.select(group, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"))
+    inside = W.partitionBy(group, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.withColumns({"__s": F.sum(value).over(inside), "__n": F.count(value).over(inside)}).join(starts, [group, "__b"])
+    mean = F.try_divide(F.coalesce("__s", F.lit(0.0)) + F.col("__s0"), F.col("__n") + F.col("__n0"))
+    return out.select(*df.columns, mean.alias("running_mean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyrook.functions import text
 
+# Language names, as found and as kept.
 LANGUAGES = {"C": "C", "CPP": "C++", "C++": "C++"}
 #: What a missing function reads as.
 MISSING = "None"
@@ -33,17 +34,22 @@ def nonempty(df: DataFrame, column: str = "func_before") -> DataFrame:
     return df.withColumn(column, clean_text(F.col(column))).where(F.length(column) > 0)
 
 
+def digest(column: str) -> Column:
+    """Tells texts apart, null from empty, in 64 characters."""
+    return F.concat(F.sha2(F.coalesce(column, F.lit("")), 256), F.col(column).isNull().cast("int").cast("string"))
+
+
 def dedupe_first(df: DataFrame, column: str = "func_before", order: tuple[str, ...] = ("split_ord", "row_ord")) -> DataFrame:
-    """The first row, by `order`, of each text.  A minimum per text, combined
-    before the shuffle, so a text of very many rows stays cheap."""
-    others = [c for c in df.columns if c not in order]
-    row = F.struct(*order, *[F.col(f"`{c}`") for c in others])
-    first = df.groupBy(F.sha2(F.coalesce(column, F.lit("")), 256), F.col(column).isNull()).agg(F.min_by(row, F.struct(*order)).alias("r"))
-    return first.select(*[F.col(f"r.`{c}`").alias(c) for c in df.columns])
+    """The first row, by `order`, of each text; `order` must tell rows apart.
+    A minimum per digest, combined before the shuffle, so a text of very many
+    rows stays cheap; rows meet the minima by a semi join."""
+    rows = df.withColumn("__digest", digest(column))
+    first = rows.groupBy("__digest").agg(F.min(F.struct(*order)).alias("__first")).select("__digest", *[F.col(f"__first.`{c}`").alias(c) for c in order])
+    return rows.join(first, ["__digest", *order], "left_semi").select(*df.columns)
 
 
 def duplicates(df: DataFrame, column: str = "func_before") -> DataFrame:
-    n, unique = F.count("*"), F.count_distinct(column)
+    n, unique = F.count("*"), F.count_distinct(F.sha2(column, 256))
     return df.agg(n.alias("n"), unique.alias("n_unique"), (n - unique).alias("n_duplicates"), F.try_divide((n - unique) * 100.0, n).alias("percent"))
 
 
@@ -81,15 +87,28 @@ def quotas(counts: DataFrame, fraction: float, group: str = "strata", n: str = "
     return rows.withColumn("quota", (F.col("__base") + (F.col("__place") <= F.col("__need")).cast("long"))).drop("__keep", "__total", "__base", "__rest", "__need", "__place")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A narrow table that is read several times: a checkpoint where a folder
+    for one is set, else persisted (recomputed if an executor is lost)."""
+    spark = df.sparkSession
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(given)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
 def split(df: DataFrame, key: str, group: str = "strata", test: float = 0.2, seed: int = 42) -> DataFrame:
     """`df` with split: train, then validation and test as halves of the rest,
-    each with its exact share of every group."""
-    counts = df.groupBy(group).agg(F.count("*").alias("n"))
+    each with its exact share of every group.  Only keys and groups are counted
+    and numbered; whole rows join once."""
+    ids = kept(df.select(key, group))
+    counts = ids.groupBy(group).agg(F.count("*").alias("n"))
     first = quotas(counts, test, group).withColumnRenamed("quota", "n_train")
     second = quotas(first.select(group, "n_train", (F.col("n") - F.col("n_train")).alias("n")), 0.5, group)
     cut = F.broadcast(second.select(group, "n_train", (F.col("n_train") + F.col("quota")).alias("n_upto")))  # a row per group
-    rows = numbered(df, group, seeded(seed, F.col(key))).join(cut, group)
-    return rows.withColumn("split", F.when(F.col("rank") <= F.col("n_train"), "train").when(F.col("rank") <= F.col("n_upto"), "validation").otherwise("test")).drop("rank", "n_train", "n_upto")
+    rows = numbered(ids, group, seeded(seed, F.col(key))).join(cut, group)
+    said = F.when(F.col("rank") <= F.col("n_train"), "train").when(F.col("rank") <= F.col("n_upto"), "validation").otherwise("test")
+    return df.join(rows.select(key, said.alias("split")), key)
 
 
 def class_weights(df: DataFrame, label: str = "vul") -> DataFrame:

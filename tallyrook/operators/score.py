@@ -9,12 +9,15 @@ substitute for a fine-tuned network.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrook.operators.prep import numbered, seeded
+
 MAX_LENGTH = 512
 
 
@@ -45,6 +48,44 @@ def table_scorer(logits: DataFrame, source: str = "table", key: str = "code_id")
     return lambda code: from_logits(code.select(key).join(logits, key), source, key)
 
 
+@lru_cache(maxsize=2)
+def _encoder(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(tokenizer)
+    encoder.enable_truncation(MAX_LENGTH)
+    return encoder
+
+
+@lru_cache(maxsize=2)
+def _session(model: str, tokenizer: str):
+    """One session and one tokenizer per worker process."""
+    import onnxruntime
+
+    return onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"]), _encoder(tokenizer)
+
+
+def encoded(df: DataFrame, tokenizer: str, column: str = "func_before", label: str = "vul", pad_id: int = 1) -> DataFrame:
+    """`df` with input_ids and attention_mask, cut or padded to MAX_LENGTH, and
+    labels; a null text is empty."""
+
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([e.ids for e in _encoder(tokenizer).encode_batch(texts.fillna("").tolist())])
+
+    made = F.pandas_udf(ids, "array<int>").asNondeterministic()
+    rows = df.withColumn("__ids", made(F.col(column)))
+    cut, mask = padded(F.col("__ids"), pad_id)
+    return rows.withColumns({"input_ids": cut, "attention_mask": mask, "labels": F.col(label).cast("long")}).drop("__ids")
+
+
+def batches(df: DataFrame, key: str, size: int = 16, seed: int = 42) -> DataFrame:
+    """`df` with batch: shuffled rows, numbered over all, `size` in each batch
+    but the last."""
+    rows = numbered(df.withColumn("__all", F.lit(0)), "__all", seeded(seed, F.col(key)))
+    return rows.withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("__all", "rank")
+
+
 def onnx_scorer(model: str, tokenizer: str, pad_id: int = 1, key: str = "code_id", column: str = "code") -> Callable[[DataFrame], DataFrame]:
     """Scores with onnxruntime on the CPU: inputs input_ids and attention_mask,
     output logits; batches are padded to their longest row.  Missing files are
@@ -55,12 +96,8 @@ def onnx_scorer(model: str, tokenizer: str, pad_id: int = 1, key: str = "code_id
 
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
-        import onnxruntime
-        from tokenizers import Tokenizer
 
-        session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
-        encoder = Tokenizer.from_file(tokenizer)
-        encoder.enable_truncation(MAX_LENGTH)
+        session, encoder = _session(model, tokenizer)
         for texts in batches:
             rows = [e.ids for e in encoder.encode_batch(texts.fillna("").tolist())]
             width = max((len(r) for r in rows), default=1)
@@ -73,10 +110,15 @@ def onnx_scorer(model: str, tokenizer: str, pad_id: int = 1, key: str = "code_id
     return lambda code: from_logits(code.select(key, score(column).alias("l")).select(key, "l.*"), f"onnx:{Path(model).name}", key)
 
 
-def resolve(onnx: str, checkpoint: str, fitted: Callable[[DataFrame], DataFrame] | None, tokenizer: str) -> Callable[[DataFrame], DataFrame]:
-    """The model file if it is there, else the given fitted scorer."""
+def resolve(onnx: str, checkpoint: str, tokenizer: str) -> Callable[[DataFrame], DataFrame]:
+    """The model file if it is there, else the pipeline saved in `checkpoint`;
+    neither is an error, never a model without training."""
     if Path(onnx).is_file():
         return onnx_scorer(onnx, tokenizer)
-    if fitted is None:
+    if not Path(checkpoint, "metadata").is_dir():
         raise FileNotFoundError(f"neither {onnx} nor a model in {checkpoint}")
-    return fitted
+    from pyspark.ml import PipelineModel
+
+    from tallyrook.operators import train
+
+    return train.scorer(PipelineModel.load(checkpoint))

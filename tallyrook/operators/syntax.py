@@ -1,9 +1,9 @@
 """Layer 2: does the structure of the code confirm a match?
 
-A parser for the language is not available here, so the structure is read
-lexically, by built-in expressions: literals and comments are blanked,
-directives too, and calls are told from declarations by what stands before the
-name and by brace depth.  `validator` says which reading was used.
+Where a parser for the language can be imported, it reads the structure (see
+`exact`).  Else it is read lexically, by built-in expressions: literals and
+comments are blanked, directives too, and calls are told from declarations by
+what stands around the name.  `validator` says which reading was used.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrook.functions import text
-from tallyrook.operators import scan
+from tallyrook.operators import exact, scan
 from tallyrook.operators.rules import RULES, SPACE, WORD
 
 VALIDATOR = "lexical"
@@ -30,9 +30,18 @@ TOKEN = "|".join(
 )
 DIRECTIVE = r"(?m)^[ \t]*#[^\n\\]*+(?:\\[\s\S][^\n\\]*+)*+"
 #: Words that may stand before a call though they look like a type.
-LEADING = rf"(?<!{WORD})(?:return|else|do|case|throw|co_return|co_await|co_yield|and|or|not)(?!{WORD})"
+LEADING = rf"(?<!{WORD})(?:return|else|do|case|throw|co_return|co_await|co_yield|and|or|not|xor|compl|bitand|bitor|sizeof|delete|noexcept)(?!{WORD})"
 NAMES = tuple(r.func_name for r in RULES if r.func_name)
-CALL = rf"(?<![\p{{L}}\p{{N}}_.~])(?<!->\s{{0,8}})(?<!::\s{{0,8}})(?<!\.\s{{0,8}})(?<!{WORD}\s{{1,8}})({'|'.join(NAMES)}){SPACE}*\("
+_ARGUMENTS = r"[^()]*+(?:\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)[^()]*+)*+\)"
+#: A name before arguments that no body follows.
+CALL = rf"(?<!{WORD})({'|'.join(NAMES)}){SPACE}*\((?!{_ARGUMENTS}{SPACE}*+\{{)"
+#: What stands before a name that is declared, or that is no plain name: a word
+#: (its type); a member, scope or destructor sign; a statement that so far is
+#: words, with or without angle brackets, and pointer or reference signs.
+NOT_CALLED = (
+    rf"(?:{WORD}{SPACE}++|\.{SPACE}*+|->{SPACE}*+|::{SPACE}*+|~{SPACE}*+"
+    rf"|[;{{}}]{SPACE}*+(?:(?:{WORD}|::)++{SPACE}*+)++(?:<(?:[^;{{}}()=<>]|<[^;{{}}()=<>]*+>)*+>{SPACE}*+(?:[*&]{SPACE}*+)*+|(?:[*&]{SPACE}*+)++))\z"
+)
 
 PARSE_ERROR = "parse error: the match is kept as it is"
 IN_SKIP = "rejected: inside a comment or literal"
@@ -49,54 +58,52 @@ def parse_error(masked: Column) -> Column:
     return odd | masked.rlike(r"""["']|/\*""")
 
 
-def calls(plain: Column) -> Column:
-    """array<struct<line, name>> of the calls of known names in text without
-    literals, comments and directives; lines end at \\n only."""
-    code = F.regexp_replace(plain, LEADING, ";")
-    before = F.split(code, CALL, -1)
-    whole = F.regexp_extract_all(code, F.lit(CALL), F.lit(0))
-    names = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
+#: Stands before a called name in marked text; a noncharacter.
+_MARK = "\uffff"
+
+
+def called(plain: Column) -> Column:
+    """array<string>: for each line of text without literals, comments and
+    directives, the known names called on it, each between commas; lines end at
+    \\n only."""
+    code = F.concat(F.lit(";"), F.regexp_replace(F.translate(plain, _MARK, " "), LEADING, "="))
+
+    def marked(text_: Column) -> Column:
+        whole = F.regexp_extract_all(text_, F.lit(CALL), F.lit(0))
+        before = F.slice(F.split(text_, CALL, -1), F.lit(1), F.size(whole))
+        return F.array_join(F.zip_with(before, whole, lambda a, b: F.concat(a, F.when(a.rlike(NOT_CALLED), b).otherwise(F.concat(F.lit(_MARK), b)))), "")
+
+    name = f"{_MARK}({'|'.join(NAMES)})"
+    ends = F.split(text.let(code, marked), "\n", -1)
+    return F.transform(ends, lambda x: F.concat(F.lit(","), F.array_join(F.regexp_extract_all(x, F.lit(name), F.lit(1)), ","), F.lit(",")))
+
+
+def calls(named: Column) -> Column:
+    """array<struct<line, name>> of such an array."""
+    return F.flatten(F.transform(named, lambda x, k: F.transform(F.filter(F.split(x, ","), lambda n: n != ""), lambda n: F.struct((k + 1).alias("line"), n.alias("name")))))
+
 
-    def lines_in(x: Column) -> Column:
-        return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+def _read(code: DataFrame, column: str) -> DataFrame:
+    """`code` with masked (literals and comments blank), odd (a parse error)
+    and called."""
+    if exact.available():
+        return exact.read(code, column, NAMES)
+    rows = code.withColumn("masked", text.blanked(F.col(column), TOKEN))
+    return rows.withColumns({"called": called(text.blanked(F.col("masked"), DIRECTIVE)), "odd": parse_error(F.col("masked"))})
 
-    def step(s: Column, x: Column) -> Column:
-        line, depth = s["line"] + lines_in(x["before"]), s["depth"] + _balance(x["before"], r"\{", r"\}")
-        call = F.array(F.struct(line.alias("line"), x["name"].alias("name")))
-        return F.struct(
-            (line + lines_in(x["whole"])).alias("line"),
-            depth.alias("depth"),
-            F.when(depth > 0, F.concat(s["out"], call)).otherwise(s["out"]).alias("out"),
-        )
 
-    rows = F.arrays_zip(F.slice(before, F.lit(1), F.size(whole)).alias("before"), whole.alias("whole"), names.alias("name"))
-    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("depth"), F.array().cast("array<struct<line:int,name:string>>").alias("out"))
-    return F.aggregate(rows, start, step)["out"]
+def validator() -> str:
+    return exact.VALIDATOR if exact.available() else VALIDATOR
 
 
 def structure(code: DataFrame, key: str = "code_id", column: str = "code") -> DataFrame:
     """key, masked (literals and comments blank), parse_error, calls."""
-    masked = code.select(key, text.blanked(F.col(column), TOKEN).alias("masked"))
-    plain = masked.withColumn("plain", text.blanked(F.col("masked"), DIRECTIVE))
-    return plain.select(key, "masked", parse_error(F.col("masked")).alias("parse_error"), calls(F.col("plain")).alias("calls"))
+    return _read(code.select(key, column), column).select(key, "masked", F.col("odd").alias("parse_error"), "called", calls(F.col("called")).alias("calls"))
 
 
 def skip_ranges(code: DataFrame, key: str = "code_id", column: str = "code") -> DataFrame:
     """key, start, end: byte ranges of literals and comments."""
-    found = F.regexp_extract_all(F.col(column), F.lit(TOKEN), F.lit(0))
-    between = F.split(F.col(column), TOKEN, -1)
-    sums = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("a"), found.alias("b")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.octet_length(x["a"]) + F.octet_length(x["b"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(F.struct((s["at"] + F.octet_length(x["a"])).alias("start"), (s["at"] + F.octet_length(x["a"]) + F.octet_length(x["b"])).alias("end"))),
-            ).alias("out"),
-        ),
-    )["out"]
-    return code.select(key, F.explode(sums).alias("r")).select(key, F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    return code.select(key, F.explode(text.places(F.col(column), TOKEN, F.octet_length)).alias("r")).select(key, "r.start", "r.end")
 
 
 def line_start_bytes(code: DataFrame, key: str = "code_id", column: str = "code") -> DataFrame:
@@ -118,13 +125,13 @@ def in_skip(findings: DataFrame, ranges: DataFrame, key: str = "code_id") -> Dat
     return findings.alias("f").join(ranges.alias("r"), (F.col(f"f.{key}") == F.col(f"r.{key}")) & inside, "left_semi")
 
 
-def _judged(f: Column, parse_error_: Column, calls_: Column, masked_lines: Column) -> tuple[Column, Column]:
+def _judged(f: Column, parse_error_: Column, called_: Column, masked_lines: Column) -> tuple[Column, Column]:
     """confirmed and reason of a finding.  A named finding holds if that name is
     called on its line (lines ending at \\n), whatever the match; one without a
     name holds outside literals and comments; where the code doesn't parse, all
     hold."""
     name = f["func_name"]
-    called = F.exists(calls_, lambda c: (c["line"] == f["line"]) & (c["name"] == name))
+    called = F.coalesce(F.get(called_, f["line"] - 1).contains(F.concat(F.lit(","), name, F.lit(","))), F.lit(False))
     plain = F.substring(F.element_at(masked_lines, f["line"]), f["col"] + 1, F.lit(1)) != " "
     confirmed = F.when(parse_error_, True).when(name.isNotNull(), called).otherwise(plain)
     reason = (
@@ -137,16 +144,16 @@ def _judged(f: Column, parse_error_: Column, calls_: Column, masked_lines: Colum
     return confirmed, reason
 
 
-def validated(code: DataFrame, key: str = "code_id", column: str = "code", keep: tuple[str, ...] = ()) -> DataFrame:
+def validated(code: DataFrame, key: str = "code_id", column: str = "code", keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
     """key, `keep` and findings with confirmed and reason, one array per row of
-    `code`: scan and structure of a text meet in its own row, without a join."""
-    rows = code.select(key, *keep, scan.findings(F.col(column)).alias("f"), text.blanked(F.col(column), TOKEN).alias("masked"))
-    rows = rows.withColumn("calls", calls(text.blanked(F.col("masked"), DIRECTIVE)))
-    rows = rows.withColumns({"lines": text.lines(F.col("masked")), "odd": parse_error(F.col("masked"))})
+    `code`: scan and structure of a text meet in its own row, without a join.
+    texts: with match_text, the whole line for each of its matches."""
+    rows = _read(code.select(key, *keep, F.col(column).alias("__code"), scan.findings(F.col(column), texts=texts).alias("f")), "__code")
+    rows = rows.withColumn("lines", text.lines(F.col("masked")))
 
     def judged(f: Column) -> Column:
-        confirmed, reason = _judged(f, F.col("odd"), F.col("calls"), F.col("lines"))
-        return F.struct(*[f[c].alias(c) for c in scan.FIELDS], confirmed.alias("confirmed"), reason.alias("reason"))
+        confirmed, reason = _judged(f, F.col("odd"), F.col("called"), F.col("lines"))
+        return F.struct(*[f[c].alias(c) for c in scan.FIELDS if texts or c != "match_text"], confirmed.alias("confirmed"), reason.alias("reason"))
 
     return rows.select(key, *keep, F.transform("f", judged).alias("findings"))
 
@@ -154,8 +161,8 @@ def validated(code: DataFrame, key: str = "code_id", column: str = "code", keep:
 def validate(findings: DataFrame, code: DataFrame, key: str = "code_id", column: str = "code") -> DataFrame:
     """`findings` (rows, from anywhere) with confirmed, reason and validator: one
     equi join on the key.  `validated` needs none."""
-    shape = structure(code, key, column).withColumn("lines", text.lines(F.col("masked"))).drop("masked")
+    shape = structure(code, key, column).withColumn("lines", text.lines(F.col("masked"))).drop("masked", "calls")
     rows = findings.join(shape, key)
     f = {c: F.col(c) for c in ("line", "col", "func_name")}
-    confirmed, reason = _judged(f, F.col("parse_error"), F.col("calls"), F.col("lines"))
-    return rows.select(*findings.columns, confirmed.alias("confirmed"), reason.alias("reason"), F.lit(VALIDATOR).alias("validator"))
+    confirmed, reason = _judged(f, F.col("parse_error"), F.col("called"), F.col("lines"))
+    return rows.select(*findings.columns, confirmed.alias("confirmed"), reason.alias("reason"), F.lit(validator()).alias("validator"))

@@ -17,15 +17,16 @@ def verdict(confirmed: Column, p: Column, threshold: float = THRESHOLD) -> Colum
     return F.when(confirmed & likely, "vulnerable").when(confirmed | likely, "needs_review").otherwise("likely_safe")
 
 
-def analyze(code: DataFrame, scorer: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, key: str = "code_id", column: str = "code") -> DataFrame:
+def analyze(code: DataFrame, scorer: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, key: str = "code_id", column: str = "code", texts: bool = True) -> DataFrame:
     """key, code, regex_findings, confirmed_findings (arrays in scan order),
     model_prediction and verdict, for every row of `code`, also without findings.
-    Nothing is shuffled but for what the scorer joins; a null text has none."""
-    rows = validated(code.select(key, F.col(column).alias("code")), key, "code", keep=("code",))
+    Nothing is shuffled but for what the scorer joins; a null text has none.
+    texts: findings with match_text, the whole line for each of its matches."""
+    rows = validated(code.select(key, F.col(column).alias("code")), key, "code", keep=("code",), texts=texts)
     rows = rows.withColumn("findings", F.coalesce("findings", F.array()))
 
     def shaped(found: Column) -> Column:
-        return F.transform(found, lambda f: F.struct(*[f[c].alias(c) for c in ("rule_id", "cwe", "severity", "message", "line", "col", "match_text", "func_name")]))
+        return F.transform(found, lambda f: F.struct(*[f[c].alias(c) for c in ("rule_id", "cwe", "severity", "message", "line", "col", "match_text", "func_name") if texts or c != "match_text"]))
 
     scores = scorer(code).select(key, F.struct("label", "probability", "model_source").alias("model_prediction"))
     rows = rows.join(scores, key, "left")

@@ -67,7 +67,7 @@ def l1_match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Layer 2
 
 _JUDGED_SQL = _FOUND_SQL + f""", {fx.TRUTH_SQL}, judged AS (SELECT f.*, t.confirmed,
-  CASE WHEN func_name IS NOT NULL AND t.confirmed THEN 'confirmed: ' || func_name || ' is called on this line'
+  CASE WHEN t.odd THEN '{syntax.PARSE_ERROR}' WHEN func_name IS NOT NULL AND t.confirmed THEN 'confirmed: ' || func_name || ' is called on this line'
        WHEN func_name IS NOT NULL THEN 'rejected: no call of ' || func_name || ' on this line'
        WHEN t.confirmed THEN '{syntax.IN_CODE}' ELSE '{syntax.IN_SKIP}' END AS reason
   FROM findings f JOIN truth t ON t.k = f.code_id % {len(fx.STATEMENTS)} AND t.rule_id = f.rule_id)"""
@@ -116,13 +116,13 @@ def softmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH ids AS (SELECT doc_id, [CAST((doc_id * 7 + i) % 1000 AS INT) for i in range(0, doc_id % 700)] AS ids FROM documents)
-SELECT doc_id, CAST(list_sum(ids[1:512]) AS BIGINT) + 1 * greatest(512 - len(ids), 0) AS id_sum, CAST(512 AS BIGINT) AS length, CAST(least(len(ids), 512) AS BIGINT) AS mask_sum
-FROM ids WHERE len(ids) > 0""")
+SELECT doc_id, coalesce(CAST(list_sum(ids[1:512]) AS BIGINT), 0) + 1 * greatest(512 - len(ids), 0) AS id_sum, CAST(512 AS BIGINT) AS length, CAST(least(len(ids), 512) AS BIGINT) AS mask_sum
+FROM ids""")
 def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     n = (d % 700).cast("int")
-    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((d * 7 + i) % 1000).cast("int"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(d % 700 > 0)
+    ids = F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), lambda i: ((d * 7 + i) % 1000).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cut, mask = score.padded(F.col("ids"), 1)
     add = lambda s, x: s + x
     rows = docs.select("doc_id", ids.alias("ids")).select("doc_id", cut.alias("cut"), mask.alias("mask"))
@@ -172,12 +172,18 @@ def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.summary(_results(spark, sf_dir))
 
 
-@query()
+_SAID_SQL = _VERDICT_SQL + """, reported AS (SELECT 'src/' || code_id || '.c' AS path, code_id % 97 = 5 AS failed, verdict, label,
+  string_split(confirmed, ',') AS rules, confirmed = '' AS none, CAST(round(probability, 4) AS DECIMAL(5, 4))::VARCHAR AS p FROM said)"""
+
+
+@query(_SAID_SQL + r""" SELECT path, CASE WHEN failed THEN '[ERROR] ' || path || ': unreadable' ELSE '[' || rpad(upper(verdict), 12, ' ') || '] ' || path || '  (confirmed=' ||
+  CASE WHEN none THEN '[]' ELSE '[' || chr(39) || array_to_string(rules, chr(39) || ', ' || chr(39)) || chr(39) || ']' END || ' model=' || label || ' P=' || regexp_replace(p, '([.][0-9]+?)0+$', '\1') || ')' END AS line FROM reported""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.report_lines(_results(spark, sf_dir))
 
 
-@query()
+@query(_SAID_SQL + """ SELECT path, CASE WHEN failed THEN '{"error":"unreadable"}' ELSE '{"verdict":"' || verdict || '","confirmed":[' ||
+  CASE WHEN none THEN '' ELSE '"' || array_to_string(rules, '","') || '"' END || '],"model_label":' || label || ',"model_probability":' || p || ',"model_source":"table"}' END AS json FROM reported""")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.export_rows(_results(spark, sf_dir))
 
@@ -243,6 +249,11 @@ def top_cwe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.top_cwe(fx.raw(spark, sf_dir))
 
 
+@query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 5")
+def dataset_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.head(spark.read.parquet(f"{sf_dir}/documents.parquet"), ("doc_id",)).select("doc_id", "lang", "source")
+
+
 @query("SELECT count(*) AS n_rows, CAST(5 AS INT) AS n_columns FROM documents")
 def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.shape(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -291,7 +302,11 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.leaks(_split(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {fx.PREPARED_SQL}, sizes AS (SELECT vul, count(*) AS size, row_number() OVER (ORDER BY vul) - 1 AS k FROM prepared GROUP BY vul),
+u AS (SELECT i AS draw, CAST(floor(('0x' || substr(md5('42|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (SELECT count(*) FROM sizes)) AS BIGINT) AS k,
+  ('0x' || substr(md5('43|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(0, (SELECT sum(size)::BIGINT FROM sizes)) t(i)),
+ranked AS (SELECT vul, row_ord, row_number() OVER (PARTITION BY vul ORDER BY md5('42|' || row_ord)) AS rank FROM prepared)
+SELECT draw, row_ord, vul FROM u JOIN sizes USING (k) JOIN ranked USING (vul) WHERE rank = CAST(floor(u * size) AS BIGINT) + 1""")
 def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_draw(fx.prepared(spark, sf_dir), "row_ord").select("draw", "row_ord", "vul")
 
@@ -369,6 +384,6 @@ def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ml_substitute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _split(spark, sf_dir)
-    model = train.fit(rows.where("split = 'train'"), features=1 << 12, iterations=5)
+    model = train.fit(rows.where("split = 'train'"))
     held = rows.where("split != 'train'").select(F.col("row_ord").alias("code_id"), F.col("func_before").alias("code"))
     return train.scorer(model)(held)

@@ -28,7 +28,24 @@ STATEMENTS: list[tuple[str, dict[str, bool]]] = [
     ("snprintf(b, n, f); fgets(a, n, f);", {}),
     ('strcpy(d, "system(x)");', {"R002": True, "R006": False}),
     ("return 0;", {}),
+    ("strcpy(\n        d,\n        s); free\n        (p);", {"R002": True}),
+    ("r(); }\nstatic int q = system(cmd);\nvoid g(void) { r();", {"R006": True}),
+    ("r(); }\nchar *gets(char *s);\nvoid free(void *p);\nvoid g(void) { r();", {"R001": False, "R009": False}),
+    ("char *strcpy(char *, const char *);", {"R002": False}),
+    ("r(); }\nstruct A { A(int n) : p(malloc(n * m)) {} char *p; };\nvoid g(void) { r();", {"R008": True}),
+    ('r(); }\nextern "C" { char *gets(char *s); }\nvoid g(void) { r();', {"R001": False}),
+    ("r(); }\nchar *gets(char *s) { return s; }\nvoid g(void) { r();", {"R001": False}),
+    ("n = sizeof free(p);", {"R009": True}),
+    ("return a * malloc(n * m);", {"R008": True}),
+    ("std::vector<char *> free(3);", {"R009": False}),
+    ("if (a { strcpy(d, s); /* gets(x) */", {"R001": True, "R002": True}),
+    ('s = "not closed; system(x);', {"R006": True}),
+    ('s = "joined \\\n strcpy(a, b)"; memmove(a, b, n);', {"R002": False, "R010": True}),
+    ("#define CP(a, b) \\\n    strcpy(a, b)", {"R002": False}),
+    ('s = R"x(\ngets(a); )" )x"; (void) free(s);', {"R001": False, "R009": True}),
 ]
+#: Those that don't parse.
+ODD = [k for k, (s, _) in enumerate(STATEMENTS) if s.startswith(("if (a {", 's = "not'))]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +94,7 @@ def _quoted(s: str) -> str:
 _K = len(STATEMENTS)
 CODE_SQL = f"""code AS (SELECT doc_id AS code_id, 'void f' || doc_id || '(void) {{' || chr(10) || '    ' ||
   ([{", ".join(_quoted(s) for s, _ in STATEMENTS)}])[CAST(doc_id % {_K} AS INT) + 1] || chr(10) || '}}' AS code FROM documents)"""
-TRUTH_SQL = "truth(k, rule_id, confirmed) AS (VALUES " + ", ".join(f"({k}, '{r}', {str(c).lower()})" for k, (_, t) in enumerate(STATEMENTS) for r, c in t.items()) + ")"
+TRUTH_SQL = "truth(k, rule_id, confirmed, odd) AS (VALUES " + ", ".join(f"({k}, '{r}', {str(c).lower()}, {str(k in ODD).lower()})" for k, (_, t) in enumerate(STATEMENTS) for r, c in t.items()) + ")"
 LOGITS_SQL = """logits AS (SELECT doc_id AS code_id, CAST((doc_id * 37) % 101 AS DOUBLE) / 20.0::DOUBLE - 2.5::DOUBLE AS logit0,
   CAST((doc_id * 53) % 97 AS DOUBLE) / 20.0::DOUBLE - 2.4::DOUBLE AS logit1 FROM documents)"""
 SCORES_SQL = LOGITS_SQL + """, scores AS (SELECT code_id, CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS label,

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrook.operators.verdict import THRESHOLD, analyze, confirmed_rules
@@ -19,7 +19,7 @@ def scan_results(files: DataFrame, scorer: Callable[[DataFrame], DataFrame], thr
     """path, error, verdict, confirmed, model_label, model_probability,
     model_source of each row (path, code, error)."""
     readable = files.where("error is null").select(F.col("path").alias("code_id"), "code")
-    done = analyze(readable, scorer, threshold)
+    done = analyze(readable, scorer, threshold, texts=False)
     p = F.col("model_prediction")
     ok = done.select(
         F.col("code_id").alias("path"),
@@ -33,11 +33,15 @@ def scan_results(files: DataFrame, scorer: Callable[[DataFrame], DataFrame], thr
     return ok.unionByName(files.where("error is not null").select("path", "error"), allowMissingColumns=True)
 
 
+def _plain(x: Column) -> Column:
+    """A number of at most four decimals, without zeros that say nothing."""
+    return F.regexp_replace(F.format_string("%.4f", x), r"(\.\d+?)0+$", "$1")
+
+
 def report_lines(results: DataFrame) -> DataFrame:
     """path and its line of the report."""
-    said = F.format_string(
-        "[%-12s] %s  (confirmed=%s model=%s P=%s)", F.upper("verdict"), F.col("path"), F.concat(F.lit("["), F.array_join("confirmed", ", "), F.lit("]")), F.col("model_label").cast("string"), F.col("model_probability").cast("string")
-    )
+    rules = F.when(F.size("confirmed") > 0, F.concat(F.lit("['"), F.array_join("confirmed", "', '"), F.lit("']"))).otherwise("[]")
+    said = F.format_string("[%-12s] %s  (confirmed=%s model=%s P=%s)", F.upper("verdict"), F.col("path"), rules, F.col("model_label").cast("string"), _plain(F.col("model_probability")))
     return results.select("path", F.when(F.col("error").isNotNull(), F.concat(F.lit("[ERROR] "), "path", F.lit(": "), "error")).otherwise(said).alias("line"))
 
 
@@ -47,17 +51,18 @@ def summary(results: DataFrame) -> DataFrame:
 
 def export_rows(results: DataFrame) -> DataFrame:
     """path and its result as JSON."""
-    value = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(F.to_json(F.struct("verdict", "confirmed", "model_label", "model_probability", "model_source")))
+    p = F.col("model_probability").cast("decimal(5,4)").alias("model_probability")
+    value = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(F.to_json(F.struct("verdict", "confirmed", "model_label", p, "model_source")))
     return results.select("path", value.alias("json"))
 
 
-def main(spark: SparkSession, argv: list[str], scorer: Callable[[DataFrame], DataFrame], say: Callable[[str], None] = print) -> int:
+def main(spark: SparkSession, argv: list[str], scorer: Callable[[DataFrame], DataFrame], say: Callable[[str], None] = print, complain: Callable[[str], None] | None = None) -> int:
     """list|export|scan [folder]: 2 if the folder is missing, 0 for list and
     export, 1 if anything is vulnerable, else 0.  Other commands scan."""
     command, folder = (argv[0] if argv else "scan"), Path(argv[1] if len(argv) > 1 else "samples")
     folder = folder if folder.is_absolute() else ROOT / folder
-    if not folder.is_dir():
-        say(f"no such folder: {folder}")
+    if not folder.exists():
+        (complain or say)(f"Directory not found: {folder}")
         return 2
     files = list_files(spark, str(folder))
     if command == "list":
@@ -65,12 +70,15 @@ def main(spark: SparkSession, argv: list[str], scorer: Callable[[DataFrame], Dat
             say(r["path"])
         return 0
     results = scan_results(read_files(files), scorer).persist()
-    ordered = results.orderBy(F.split("path", "/"))
-    if command == "export":
-        say(json.dumps({r["path"]: json.loads(r["json"]) for r in export_rows(ordered).toLocalIterator()}, indent=2, default=str))
-        return 0
-    for r in report_lines(ordered).toLocalIterator():
-        say(r["line"])
-    total = summary(results).first()
-    say(f"Scanned {total['n_files']} file(s); {total['n_flagged']} flagged 'vulnerable'.")
-    return 1 if total["n_flagged"] else 0
+    try:
+        ordered = results.orderBy(F.split("path", "/"))
+        if command == "export":
+            say(json.dumps({r["path"]: json.loads(r["json"]) for r in export_rows(ordered).toLocalIterator()}, indent=2, default=str))
+            return 0
+        for r in report_lines(ordered).toLocalIterator():
+            say(r["line"])
+        total = summary(results).first()
+        say(f"\nScanned {total['n_files']} file(s); {total['n_flagged']} flagged 'vulnerable'.")
+        return 1 if total["n_flagged"] else 0
+    finally:
+        results.unpersist()

@@ -45,6 +45,30 @@ def test_dedupe_keeps_first_and_null_differs_from_empty(spark):
     assert got == {(0, 4, "a"), (2, 0, ""), (2, 1, None)}
 
 
+def test_running_mean_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, k % 3, rng.random() if k % 7 else None) for k in range(900)]
+    got = {(r["k"]): r["running_mean"] for r in eda.running_mean(spark.createDataFrame(rows, "k long, g int, v double"), "v", "k", "g").collect()}
+    for g in range(3):
+        seen = []
+        for k, own, v in rows:
+            if own == g:
+                seen += [v] if v is not None else []
+                assert (got[k] is None and not seen) or abs(got[k] - sum(seen) / len(seen)) < 1e-12
+
+
+def test_union_numbers_rows(spark):
+    from tallyrook.sources import datasets
+
+    out = datasets.union_splits([spark.range(5), spark.range(7)])
+    assert out.select("split_ord", "row_ord").distinct().count() == 12 and out.columns == ["id", "split_ord", "row_ord"]
+
+
+def test_latency_counts_after_a_warm_up():
+    calls = []
+    assert evaluate.mean_ms(lambda: calls.append(1), 5) >= 0 and len(calls) == 6
+
+
 def test_split_is_exact_disjoint_and_repeatable(spark):
     df = spark.range(997).select(F.col("id").alias("k"), F.when(F.col("id") % 13 == 0, "a").when(F.col("id") % 7 == 0, "b").otherwise("c").alias("strata"))
     out = prep.split(df, "k").cache()

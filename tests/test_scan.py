@@ -78,6 +78,50 @@ def test_structure(spark, code, expected):
     assert judged(spark, code) == expected
 
 
+def test_many_matches_and_lines_take_seconds(spark):
+    import time
+
+    from tallyrook.functions.text import running_sums
+
+    began = time.perf_counter()
+    df = spark.createDataFrame([(0, "void f(void) {" + "free(p);" * 32_000 + "}")], "code_id long, code string")
+    assert scan.scan(df).agg(F.sum("col")).first()[0] == sum(14 + 8 * k for k in range(32_000))
+    assert syntax.validated(df, texts=False).select(F.size(F.filter("findings", lambda f: f["confirmed"]))).first()[0] == 32_000
+    df = spark.createDataFrame([(0, "x = 1; // c\n" * 100_000)], "code_id long, code string")
+    assert syntax.line_start_bytes(df).agg(F.max("start_byte")).first()[0] == 12 * 99_999
+    assert syntax.skip_ranges(df).count() == 100_000
+    assert time.perf_counter() - began < 120
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 63, 64, 65, 200)], "x array<int>").select("x", running_sums(F.col("x")).alias("s")).collect()
+    assert all(r["s"] == [sum(r["x"][:k]) for k in range(len(r["x"]))] for r in rows)
+
+
+class Node:
+    """A stand-in for a parser's node."""
+
+    def __init__(self, type, start, end, children=(), line=0, function=None, has_error=False):
+        self.type, self.start_byte, self.end_byte, self.children = type, start, end, list(children)
+        self.start_point, self.function, self.has_error = (line, 0), function, has_error
+
+    def child_by_field_name(self, name):
+        return self.function if name == "function" else None
+
+
+def test_structure_by_a_parser():
+    from tallyrook.operators import exact
+
+    code = 'x; /* é\n gets(a) */ free(p); s.free("q");'
+    raw = code.encode()
+    at = raw.index(b"free")
+    name = Node("identifier", at, at + 4, line=1)
+    member = Node("field_expression", raw.index(b"s.free"), raw.index(b"s.free") + 6, line=1)
+    text_ = Node("string_literal", raw.index(b'"q"'), raw.index(b'"q"') + 3, line=1)
+    root = Node("translation_unit", 0, len(raw), [Node("comment", 3, raw.index(b"*/") + 2), Node("call_expression", at, at + 7, [name], 1, name), Node("call_expression", 0, len(raw), [member, text_], 1, member)])
+    masked, odd, calls = exact.shape(code, frozenset({"free", "gets"}), lambda _: root)
+    assert not odd and calls == [(2, "free")] and len(masked) == len(code)
+    assert masked == "x;     " + "\n" + " " * 11 + " free(p); s.free(   );"
+    assert exact.by_line(code, calls) == [",,", ",free,"]
+
+
 def test_long_literals_do_not_overflow(spark):
     code = wrapped('s = "' + 'a\\"' * 60000 + '"; /*' + "x*" * 60000 + "*/ strcpy(a, b);")
     assert judged(spark, code) == [("R002", True)]
