@@ -280,7 +280,8 @@ def pivot_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
     class and the next smaller: as many pairs as rows, twice at most."""
     step = -float(np.log(like.num / like.den))
     r = rows.withColumn("class", F.floor(F.log("n") / step))
-    pivots = r.groupBy("token", "class").agg(F.min(F.struct("own", "doc_id")).alias("p")).select("token", "class", F.col("p.doc_id").alias("pivot"))
+    # written, like the tables below that aggregates join: a join of two shuffles may split a hot token
+    pivots = base.saved(r.groupBy("token", "class").agg(F.min(F.struct("own", "doc_id")).alias("p")).select("token", "class", F.col("p.doc_id").alias("pivot")), "pivots")
     near = r.select("token", "doc_id", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
     out = near.join(pivots, ["token", "class"]).where("doc_id != pivot")
     return out.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
@@ -291,6 +292,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     labelled = rows.select("token", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    open_ = base.saved(open_, "open")
     members = base.saved(labelled.join(open_, "token", "left_semi").select("doc_id", "component").distinct(), "members")
     if members.isEmpty():
         return None
@@ -309,7 +311,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
                     yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "n", "mark"])
 
     tokens = base.saved(close.select("doc_id", "text").mapInArrow(explode, "token long, doc_id long, n int, mark long"), "tokens")
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    df = base.saved(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "document-frequencies")
     known = base.saved(tokens.join(df, "token"), "frequencies")
     from pyspark.sql import Window as W
 
@@ -327,6 +329,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     ranked = base.saved(ranked.withColumn("bucket", bucket), "ranked")
     sizes = ranked.groupBy("token", "component").count()
     major = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.component").alias("major"))
+    major = base.saved(major, "major")
     minor = ranked.join(major, "token").where("component != major")
     low, high = F.floor(F.log(F.expr(f"n * {like.num}D / {like.den}")) / fine).cast("int"), F.floor(F.log("most") / fine).cast("int")
     minor = minor.where(F.col("most") > 0).withColumn("low", low - 1).withColumn("high", high + 1).where("low <= high")
@@ -336,7 +339,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     fits = F.expr(f"ka != kb and {like.num} * (na + nb) <= {like.num + like.den} * (1 + least(ca - ta, cb - tb))") & _sizes_fit("na", "nb", like)
     found = minor.join(other, ["token", "bucket"]).where(fits)
     out = base.saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "residual")
-    base.dropped(members, tokens, known, ranked)
+    base.dropped(members, tokens, known, ranked, open_, df, major)
     return out
 
 

@@ -2,16 +2,21 @@
 
 Every line of a text is a paragraph.  A multinomial logistic regression over
 sparse word 1- and 2-grams gives each licence family and "unknown" a
-probability.  It is trained on the templates, whole, in parts and with words
-left out, against paragraphs that are no licence; the unknown class is
-calibrated by a temperature fitted on held-out examples.  A predicted family
-counts only if the paragraph also resembles one of its templates (shared word
-2-grams).  Besides the whole paragraph, every stretch of it that resembles a
+probability.  It is trained on the templates, whole and with words left out,
+against paragraphs that are no licence and notices of licences that are not
+listed; probabilities are calibrated by a temperature that is fitted on
+templates, sentences and unlisted notices that took no part in the training.  A
+predicted family counts only if the paragraph also resembles one of its
+templates (shared word 2-grams) and has a 2-gram of no other family.  Besides the whole paragraph, every stretch of it that resembles a
 template is classified alone, so words around a notice don't hide it, and a
 paragraph can hold notices of several families.
 
 Null and empty texts have no paragraph.  Paragraphs without a known word are
-unknown.
+unknown.  Null ids stay; rows that repeat an id are scanned one by one; an
+empty table gives no rows; other columns are ignored, whatever their names.  Of
+stretches that overlap and resemble their templates equally the shorter counts,
+then the first.  A text of over 1 MB is a chunk of its own.  Words are told by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +40,13 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -61,6 +69,24 @@ TEMPLATES: dict[str, list[str]] = {
     "Proprietary": ["All rights reserved.", "Copyright, all rights reserved. Unauthorized copying is strictly prohibited."],
 }
 
+# Registered short identifiers by family, and the word before them.
+IDENTIFIERS = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later",
+    "LGPL": "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later", "AGPL": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later",
+    "BSD": "BSD-2-Clause BSD-3-Clause", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "CC-BY": "CC-BY-4.0", "CC-BY-SA": "CC-BY-SA-4.0", "CC-BY-NC": "CC-BY-NC-4.0",
+    "CC0": "CC0-1.0", "Public-Domain": "Unlicense",
+}
+for _name, _ids in IDENTIFIERS.items():
+    TEMPLATES[_name] += [f"SPDX-License-Identifier: {i}" for i in _ids.split()]
+
+# Notices of licences that are not listed.
+UNLISTED = [
+    "Licensed under the Eclipse Public License, version 2.0.", "Licensed under the European Union Public Licence, version 1.2.", "Distributed under the Boost Software License, Version 1.0.",
+    "Released under the zlib License.", "Licensed under the Artistic License, version 2.0.", "This work is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Common Development and Distribution License, version 1.0.", "Released under the Python Software Foundation License, version 2.", "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the Open Software License, version 3.0.", "This file is subject to the terms of the Microsoft Public License.", "Released under the PostgreSQL License.", "SPDX-License-Identifier: Zlib",
+]
+
 # Sentences that share words with licences but are none.
 PLAIN = [
     "The driver showed the licence to the officer and went on.", "Version 2.0 of the report was released in May.", "The public was free to copy the work of the school.",
@@ -81,8 +107,9 @@ _LINE[0x0A] = True
 CONFIRM = 0.6
 #: A template's words may spread over so many times its length.
 STRETCH = 1.5
-#: Probability of a family from which a paragraph is predicted to be of it.
-SURE = 0.5
+#: Calibrated probability of a family, also above that of unknown, from which a
+#: paragraph is predicted to be of it.
+SURE = 0.3
 
 
 def _words(text: str) -> list[str]:
@@ -107,6 +134,7 @@ class Model:
     template_grams: list[list[np.ndarray]]
     grams: textvec.Lookup  # of all templates
     templates: list[tuple[int, int, np.ndarray]]  # family, words, whether each of `grams` is in it
+    special: np.ndarray  # the family that alone has a gram, -1 where several do
 
 
 def _features(h: np.ndarray) -> np.ndarray:
@@ -114,60 +142,90 @@ def _features(h: np.ndarray) -> np.ndarray:
         return np.concatenate([h, textvec.window_hashes(h, 2)])
 
 
-def _examples(seed: int) -> list[tuple[list[str], str]]:
+def _examples(seed: int) -> list[tuple[list[str], str, int]]:
+    """(words, class, source); examples of one source stem from one text."""
     rng = np.random.default_rng(seed)
-    out = []
-    for name, texts in TEMPLATES.items():
-        for t in texts:
-            words = _words(t)
-            out += [(words, name)] * 4
-            for _ in range(24):
-                keep = [w for w in words if rng.random() > 0.12]
-                if len(keep) >= max(2, len(words) // 2):
-                    out.append((keep, name))
-    everything = sorted({w for texts in TEMPLATES.values() for t in texts for w in _words(t)})
-    for t in PLAIN:
+    out: list[tuple[list[str], str, int]] = []
+    texts = [(n, t) for n, own in TEMPLATES.items() for t in own] + [(UNKNOWN, t) for t in PLAIN + UNLISTED]
+    for source, (name, t) in enumerate(texts):
         words = _words(t)
-        out += [(words, UNKNOWN)] * 8
-    for _ in range(600):  # template words in no order
-        out.append(([everything[i] for i in rng.integers(0, len(everything), rng.integers(1, 12))], UNKNOWN))
+        out.append((words, name, source))
+        for _ in range(16):
+            keep = [w for w in words if rng.random() > 0.12]
+            if len(keep) >= max(2, len(words) // 2):
+                out.append((keep, name, source))
+    everything = sorted({w for n, t in texts if n != UNKNOWN for w in _words(t)})
+    for k in range(400):  # template words in no order
+        out.append(([everything[i] for i in rng.integers(0, len(everything), rng.integers(1, 12))], UNKNOWN, len(texts) + k))
     return out
 
 
-def train(seed: int = 17, steps: int = 400, ridge: float = 2e-3) -> Model:
+#: Parts that the sources are dealt to for calibration.
+PARTS = 3
+
+
+def _fitted(rows: np.ndarray, columns: np.ndarray, n: int, y: np.ndarray, n_features: int, n_classes: int, steps: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a logistic regression over sparse rows, by gradient
+    steps with momentum; only a row's own features are touched."""
+    w, b = np.zeros((n_features, n_classes)), np.zeros(n_classes)
+    vw, vb, target = np.zeros_like(w), np.zeros_like(b), np.eye(n_classes)[y]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    has = rows[first]
+    by = np.argsort(columns, kind="stable")
+    start = np.flatnonzero(np.diff(columns[by], prepend=-1))
+    used = columns[by][start]
+    for _ in range(steps):
+        z = np.tile(b, (n, 1))
+        z[has] += np.add.reduceat(w[columns], first)
+        p = np.exp(z - z.max(1, keepdims=True))
+        g = (p / p.sum(1, keepdims=True) - target) / n
+        vw *= 0.9
+        vw[used] -= np.add.reduceat(g[rows[by]], start)
+        vw -= ridge * w
+        vb = 0.9 * vb - g.sum(0)
+        w += vw
+        b += vb
+    return w, b
+
+
+@lru_cache(maxsize=2)
+def train(seed: int = 17, steps: int = 150, ridge: float = 2e-4) -> Model:
     names = [*TEMPLATES, UNKNOWN]
     examples = _examples(seed)
-    grams = [_features(_hashes(w)) for w, _ in examples]
-    y = np.array([names.index(n) for _, n in examples])
+    grams = [np.unique(_features(_hashes(w))) for w, _, _ in examples]
+    y = np.array([names.index(n) for _, n, _ in examples])
+    part = np.array([s for _, _, s in examples]) % PARTS
     features = textvec.Lookup(np.concatenate(grams))
-    unigrams = textvec.Lookup(np.concatenate([_hashes(w) for w, _ in examples]))
-    x = np.zeros((len(grams), len(features.keys)), np.float64)
-    for i, g in enumerate(grams):
-        x[i, features(g)] = 1.0
-    held = np.arange(len(y)) % 5 == 0
-    w, b = np.zeros((x.shape[1], len(names))), np.zeros(len(names))
-    target = np.eye(len(names))[y]
-    rate = 1.5
-    for _ in range(steps):
-        z = x[~held] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - target[~held]) / (~held).sum()
-        w -= rate * (x[~held].T @ g + ridge * w / 10)
-        b -= rate * g.sum(0)
-    z = x[held] @ w + b
+    unigrams = textvec.Lookup(np.concatenate([_hashes(w) for w, _, _ in examples]))
+    index = [features(g) for g in grams]
+
+    def fitted(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen = np.flatnonzero(use)
+        sizes = [len(index[k]) for k in chosen]
+        return _fitted(np.repeat(np.arange(len(chosen)), sizes), np.concatenate([index[k] for k in chosen]), len(chosen), y[chosen], len(features.keys), len(names), steps, ridge)
+
+    held_z, held_y = [], []
+    for k in range(PARTS):  # calibration on sources that took no part in the fit
+        w, b = fitted(part != k)
+        for i in np.flatnonzero(part == k).tolist():
+            held_z.append(w[index[i]].sum(0) + b)
+            held_y.append(y[i])
+    z, own = np.array(held_z), np.array(held_y)
     best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.2, 4.0, 40):  # calibration on the held-out examples
+    for t in np.geomspace(0.2, 8.0, 50):
         q = z / t
-        loss = -(q[np.arange(len(q)), y[held]] - np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) - q.max(1)).mean()
+        loss = -(q[np.arange(len(q)), own] - np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) - q.max(1)).mean()
         if loss < best:
             best, temperature = loss, float(t)
+    w, b = fitted(part >= 0)
     with np.errstate(over="ignore"):
         templates = [[np.unique(textvec.window_hashes(_hashes(_words(t)), 2)) for t in TEMPLATES[n]] for n in names[:-1]]
-    grams = textvec.Lookup(np.concatenate([g for own in templates for g in own]))
+    all_grams = textvec.Lookup(np.concatenate([g for mine in templates for g in mine]))
     flat = [(k, len(_words(t)), g) for k, n in enumerate(names[:-1]) for t, g in zip(TEMPLATES[n], templates[k], strict=True)]
-    member = [(k, words, np.isin(np.arange(len(grams.keys)), grams(g))) for k, words, g in flat]
-    return Model(names, unigrams, features, w.astype(np.float32), b.astype(np.float32), temperature, templates, grams, member)
+    member = [(k, words, np.isin(np.arange(len(all_grams.keys)), all_grams(g))) for k, words, g in flat]
+    families = np.array([np.any([m for f, _, m in member if f == k], axis=0) for k in range(len(names) - 1)])
+    special = np.where(families.sum(0) == 1, families.argmax(0), -1)
+    return Model(names, unigrams, features, w.astype(np.float32), b.astype(np.float32), temperature, templates, all_grams, member, special)
 
 
 def _probabilities(row: np.ndarray, feature: np.ndarray, n: int, m: Model) -> np.ndarray:
@@ -211,7 +269,7 @@ def _stretches(h: np.ndarray, line: np.ndarray, pair: np.ndarray, inside: np.nda
     word = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[row]
     first = word[1:][row[1:] == row[:-1]] - 1
     p = _probabilities(np.concatenate([row, row[1:][row[1:] == row[:-1]]]), np.concatenate([m.features(h[word]), m.features(pair[first])]), len(n), m)
-    p = p[np.arange(len(n)), found[:, 2]]
+    p = np.where(p[np.arange(len(n)), found[:, 2]] > p[:, -1], p[np.arange(len(n)), found[:, 2]], 0.0)
     out: list[tuple[int, int, int, float]] = []
     sure = [(a, b, f, q) for (a, b, f), q in zip(found.tolist(), p.tolist(), strict=True) if q >= SURE]
     group: list[tuple[int, int, int, float]] = []
@@ -269,8 +327,8 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray, m: Model) -> tuple[np.ndar
     for k in likely.tolist():
         i, j = np.searchsorted(owner, k), np.searchsorted(owner, k, "right")
         n, grams = len(np.unique(own[i:j])), np.unique(own[i:j][free[i:j]])
-        # a family that rests on another one's stretch doesn't count
-        if any(len(np.intersect1d(grams, t, True)) >= CONFIRM * max(1, min(n, len(t))) for t in m.template_grams[family[k]]):
+        # a family that rests on another one's stretch, or on what others share, doesn't count
+        if (m.special[m.grams(grams[m.grams(grams) >= 0])] == family[k]).any() and any(len(np.intersect1d(grams, t, True)) >= CONFIRM * max(1, min(n, len(t))) for t in m.template_grams[family[k]]):
             best.setdefault((int(lines[k]), int(family[k])), float(p[k, family[k]]))
     if not best:
         return count, nothing, nothing, nothing, np.zeros(0, np.float32)

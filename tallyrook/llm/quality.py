@@ -120,11 +120,12 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return out.withColumn("score", 1 / (1 + F.exp(-odds))).drop(*model.names)
 
 
-def classify(docs: DataFrame, labels: DataFrame, training: Column, keep: tuple[str, ...] = (), limit: int = TRAINING_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, training: Column, keep: tuple[str, ...] = (), limit: int = TRAINING_ROWS, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, `keep` and score of every row of `docs`; labels count only where
-    `training` (over doc_id) holds."""
+    `training` (over doc_id) holds.  learn_from: the documents that are labelled,
+    if `docs` are what an earlier stage left of them."""
     sample = base.labelled_sample(labels, "quality", training, limit)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    known = (docs if learn_from is None else learn_from).select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     model = fit(docstats.counted(known), sample)
     rows = docstats.counted(base.packed(docs, ["doc_id", "text"], keep, ["doc_id", "score"]), keep=("__keep",))
     return scored(rows, model).select("doc_id", *base.unpacked(keep), "score")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,156 @@ def test_urls(spark):
     assert got[8][3] == "allow" and got[9][3] == "block" and got[10][3] == "allow"
     assert got[11][2] is None and got[12][2] == "com/en/"
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
+
+
+def test_all_links_of_a_page(spark):
+    rows = [
+        ("http://x.net/a/b", "<LINK rel='alternate canonical' href=c?x=1&amp;y=2>", ["http://x.net/a/c?x=1&y=2"]),
+        ("http://x.net/a/b", "<link rel=canonical href=../q><link data-href='/no' href=\"/r\" rel=\"canonical\">", ["http://x.net/q", "http://x.net/r"]),
+        ("http://x.net/a/b?z", "<meta http-equiv=Refresh content=\"0;url='/s'\"><meta content='5; URL=?p=2' http-equiv='refresh'>", ["http://x.net/s", "http://x.net/a/b?p=2"]),
+        ("https://x.net", "<link rel=canonical href='//Y.net'>", ["https://y.net/"]),
+        ("http://x.net/a/", "<!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script><link rel='canonical' title='a > b' href='&#x2f;k&#47;&#233;'>", ["http://x.net/k/é"]),
+        ("http://x.net/a", "<base href='http://z.net/d/e'><link rel=canonical href='./f/../g'>", ["http://z.net/d/g"]),
+        ("http://x.net/a", "<link rel=canonical href='javascript:x()'><link rel=canonical href='#top'><link rel=canonical href=''><link rel=canonicals href=/no>", []),
+        ("http://x.net/a#f", "<link rel=canonical href='a'>", []),
+        ("no scheme", "<link rel=canonical href='/a'>", []), (None, "<link rel=canonical href='http://q.net/a'>", []), ("http://x.net/n", None, []),
+    ]
+    named = [(k, u.replace("x.net", f"x{k}.net") if u else None, h) for k, (u, h, _) in enumerate(rows)]
+    got = {}
+    for r in urls.page_edges(spark.createDataFrame(named, "k long, url string, html string")).collect():
+        got.setdefault(r["u"], []).append(r["v"])
+    for k, (_, html, want) in enumerate(rows):
+        mine = [v for u, vs in got.items() if f"//x{k}.net/" in u for v in vs]
+        assert sorted(mine) == sorted(w.replace("x.net", f"x{k}.net") for w in want), html
+
+
+def test_components_decide_verdicts(spark):
+    """Pages, canonical links and redirects at random, against sets merged one by one."""
+    rng = random.Random(12)
+    hosts = ["a.com", "b.example.com", "c.net", "d.org", "e.io", "f.io", "g.io"]
+    address = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es'])}/{rng.randint(1, 9)}"
+    pages = [(k, u := address(), f"<link rel=canonical href={address()}>" if rng.random() < 0.3 else "<p>canonical</p>") for k in range(150)]
+    pages += [(200 + k, f"http://h{k}.io/p", f"<link rel=canonical href=http://h{k + 1}.io/p>") for k in range(30)] + [(300, "http://h30.io/p", "<link rel=canonical href=http://x.org/es/1>")]
+    moved = [(address(), address()) for _ in range(25)] + [(None, address())]
+    edges = [(u, h.split("href=")[1].rstrip(">")) for _, u, h in pages if "href" in h] + [m for m in moved if m[0]]
+    group = {}
+    for e in edges:
+        one, two = (group.setdefault(x, {x}) for x in e)
+        if one is not two:
+            one |= two
+            for x in two:
+                group[x] = one
+
+    def rule(u):
+        host, _, path = u.split("://")[1].partition("/")
+        fit = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fit, key=lambda r: (len(r.text), r.verdict == "allow")) if fit else None
+
+    want = {}
+    for k, u, _ in pages:
+        own, said = rule(u), {r.verdict for x in group.get(u, {u}) if (r := rule(x))}
+        want[k] = (own.text if own else None, own.verdict if own else "allow" if "allow" in said else "block" if "block" in said else "allow")
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(frame, URL_RULES, spark.createDataFrame(moved, "u string, v string")).collect()}
+    assert got == want
+    assert sum(v == "block" and r is None for r, v in got.values()) > 20  # blocked by an alias alone
+    only = urls.judge(frame.drop("html"), URL_RULES, spark.createDataFrame([("http://h0.io/p", "http://d.org/es/1")], "u string, v string"), html=None)
+    assert only.where("page_id = 200 and verdict = 'block'").count() == 1
+
+
+def test_unlisted_licences_are_unknown(spark):
+    rows = [
+        (0, "Licensed under the Eclipse Public License, version 2.0."), (1, "Licensed under the Reciprocal Public License, version 1.5."), (2, "Distributed under the Mulan Permissive Software License, Version 2."),
+        (3, "SPDX-License-Identifier: Apache-2.0"), (4, "// SPDX-License-Identifier: GPL-2.0-or-later"), (5, "SPDX-License-Identifier: EPL-2.0"), (6, "Licensed under the Mozilla Public License, version 2.0."),
+        (7, 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ]
+    got = {r["doc_id"]: r["families"] for r in licences.scan(docs(spark, rows)).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "Apache-2.0", 4: "GPL", 5: "", 6: "MPL-2.0", 7: "MIT"}
+    assert licences.scan(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_licences_line_by_line():
+    """A line's licences don't depend on what else is scanned with it, and each
+    found one has the template's share of 2-grams in the line, counted plainly."""
+    rng, m = random.Random(4), licences.train()
+    pool = [t for own in licences.TEMPLATES.values() for t in own] + licences.PLAIN + licences.UNLISTED
+
+    def scanned(texts):
+        with np.errstate(over="ignore"):
+            _, doc, number, family, _ = licences.scan_chunk(*textvec.text_buffer(pa.array(texts)), m)
+        return sorted(zip(doc.tolist(), number.tolist(), family.tolist(), strict=True))
+
+    lines = []
+    for _ in range(250):
+        words = rng.choice(pool).split() + rng.choice(pool).split()[: rng.randint(0, 6)]
+        lines.append(" ".join(w for w in words if rng.random() > 0.05) or "x")
+    alone = [(k, f) for k, line in enumerate(lines) for _, _, f in scanned([line])]
+    assert sorted(alone) == [(k, f) for _, k, f in scanned(["\n".join(lines)])] == [(k, f) for k, _, f in scanned(lines)]
+    for k, f in alone:
+        w = licences._words(lines[k])
+        pairs = set(zip(w, w[1:]))
+        shares = [len(pairs & (t := set(zip(v, v[1:])))) / max(1, min(len(t), len(pairs))) for v in map(licences._words, licences.TEMPLATES[m.names[f]])]
+        assert max(shares) >= licences.CONFIRM - 1e-9
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["total", "matched", "most", "size", "n_words_", "x_words", "__s"]
+    frame = docs(spark, [(1, "you idiot"), (2, None), (2, "calm"), (None, "x")]).drop("n_words").selectExpr("*", *[f"doc_id as `{n}`" for n in names])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for out in (
+        toxicity.classify(frame, labels, F.lit(True), keep=(*names, "text")), quality.classify(frame, labels, F.lit(True), keep=(*names, "text")), rules.apply(frame, labels, keep=(*names, "text")),
+        decontaminate.scan(frame, spark.createDataFrame([(1, "you idiot")], "item_id long, text string"), keep=tuple(names), clean=True),
+    ):
+        rows = out.collect()
+        assert len(rows) == 4 and all(r[n] == r["doc_id"] for r in rows for n in names)
+    for call in (lambda: toxicity.classify(frame, labels, F.lit(True), keep=("doc_id",)), lambda: rules.apply(frame.withColumn("kept", F.lit(1)), labels, keep=("kept",))):
+        with pytest.raises(ValueError, match="clash"):
+            call()
+    texts = docs(spark, [(1, "a"), (2, "b")]).selectExpr("cast(doc_id as string) as doc_id", "text")
+    marks = spark.createDataFrame([("1", 1, 1), ("2", 0, 0)], "doc_id string, quality int, toxic int")
+    assert toxicity.classify(texts, marks, F.lit(True)).count() == quality.classify(texts, marks, F.lit(True)).count() == 2
+
+
+def test_benchmark_of_several_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = spark.createDataFrame([(k, text(rng.randint(1, 30))) for k in range(40)], "item_id long, text string")
+    frame = docs(spark, [(k, text(rng.randint(0, 300))) for k in range(30)])
+    whole = sorted(map(repr, decontaminate.scan(frame, items, window=4).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    assert sorted(map(repr, decontaminate.scan(frame, items, window=4).collect())) == whole
+
+
+def test_cutoffs_equal_a_plain_choice(spark):
+    """kept against a plain walk over cutoffs with exact binomial tails."""
+    import math
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for k in range(1500):
+        t = [word() for _ in range(rng.randint(12, 60))]
+        if rng.random() < 0.03:
+            t = [w + "#" * rng.randint(1, 4) for w in t]
+        rows.append((k, " ".join(t), ("en", "de", None)[k % 3 if k % 30 else 2]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 10 > 0), 0) for k, _, _ in rows] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    limit, delta = 0.3, 0.05
+    out = rules.apply(frame, labels, limit, delta).select("*", *[r.step().alias(f"s_{r.name}") for r in rules.RULES]).collect()
+    strata = {r["lang"] for r in out}
+    each, share = limit / len(rules.RULES), delta / (len(strata) * len(rules.RULES))
+    cuts = {}
+    for s in strata:
+        good = [r for r in out if r["lang"] == s and r["doc_id"] % 10 > 0]
+        for rule in rules.RULES:
+            steps = [r[f"s_{rule.name}"] for r in good]
+            for cut in range(rules.BINS - 1, -1, -1):
+                k, n = sum(x > cut for x in steps), len(steps)
+                tail = sum(math.comb(n, i) * each**i * (1 - each) ** (n - i) for i in range(k + 1))
+                if tail > share:  # the share of wrong rejections may be above the limit
+                    break
+                cuts[s, rule.name] = cut
+    assert len(cuts) > 3
+    want = {r["doc_id"]: not r["base_failed"] and not any(r[f"s_{x.name}"] > cuts[r["lang"], x.name] for x in rules.RULES if (r["lang"], x.name) in cuts) for r in out}
+    assert {r["doc_id"]: r["kept"] for r in out} == want
+    assert 20 < sum(not v for v in want.values()) < 200
