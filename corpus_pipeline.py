@@ -39,7 +39,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(_named(docs), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0, keep=("__row",))
+    """Learned from all labelled documents: the rules before may have taken every
+    document of one class."""
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.classify(_named(docs), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0, keep=("__row",), learn_from=documents)
     return _rows(scored.where(F.col("score") >= THRESHOLD), docs.columns)
 
 
