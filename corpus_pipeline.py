@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrook.llm import decontaminate, jaccard, pieces, quality, rules
-from tallyrook.llm.base import fold, restricted_rows, saved, table
+from tallyrook.llm.base import dropped, fold, restricted_rows, saved, table
 from tallyrook.llm.queries import THRESHOLD, vocabulary
 
 #: Near copies: five-word shingles, similarity 0.8 or more.
@@ -95,5 +95,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        last, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        dropped(last)  # but for the given table
     return STAGES[-1][1](spark, docs, sf_dir)
