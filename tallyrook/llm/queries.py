@@ -120,6 +120,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _rules_sql(limit: float, delta: float) -> str:
+    """The counts, the cutoffs by exact binomial tails, and both verdicts."""
+    n = len(rules.RULES)
+    steps = ", ".join(f"{{'rule': '{r.name}', 'step': least({rules.BINS}, CAST(floor(sqrt({r.part} / ({r.whole} + 10.0::DOUBLE)) * {rules.BINS}) AS INT))}}" for r in rules.RULES)
+    return rf"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS k FROM win) WHERE k > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same_as_previous, len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
+  len(regexp_extract_all(t, '[A-Za-z\x{{C0}}-\x{{10FFFF}}]')) AS n_letters, len(regexp_extract_all(t, '[!?=_~^+/\\{{}}\[\]]')) AS n_marks FROM w LEFT JOIN rep USING (doc_id)),
+s AS (SELECT doc_id, lang, unnest([{steps}], recursive := true) FROM c),
+good AS (SELECT s.* FROM s SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) g USING (doc_id)),
+sizes AS (SELECT lang, count(*) // {n} AS n FROM good GROUP BY lang),
+above AS (SELECT lang, rule, cut, n, count(*) FILTER (WHERE step > cut) AS k FROM good JOIN sizes USING (lang), range(0, {rules.BINS}) r(cut) GROUP BY ALL),
+tails AS (SELECT *, k <= n * {limit / n!r} AND k < n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit / n!r}::DOUBLE) + (n - i) * ln(1 - {limit / n!r}::DOUBLE))))
+  <= {delta}::DOUBLE / ({n} * (SELECT count(*) FROM sizes)) AS valid FROM above),
+cuts AS (SELECT lang, rule, coalesce(max(cut) FILTER (WHERE NOT valid) + 1, 0) AS cut FROM tails GROUP BY ALL HAVING coalesce(max(cut) FILTER (WHERE NOT valid) + 1, 0) < {rules.BINS}),
+out AS (SELECT DISTINCT doc_id FROM s JOIN cuts USING (lang, rule) WHERE step > cut),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM b"""
+
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -139,6 +165,7 @@ links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 e AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
 r(u, v) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u) m USING (doc_id)""",
+    "op6_quality_rules": _rules_sql(0.03, 0.05),
     # the pages name no canonical address and no refresh target, so the rules decide alone
     "op10_url_filter": r"""WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
