@@ -37,19 +37,26 @@ EVENTS = 16
 _GUESS, _ESCAPE = 0, EVENTS - 1
 _CLASSES = EVENTS - 2
 _RANKS = 2 * ((1 << _CLASSES) - 1)
-_ROWS = 1 + EVENTS + 16  # contexts of a lane
+_ROWS = EVENTS + 16  # contexts of a lane, beside the one for all
 _SLOTS = 1 << 16
 #: Distinct ids that a segment may have; one with more is cut in two.
 DISTINCT = 65_535
 #: How often a context of order 2 must be seen, and confidences' least shares.
 _SEEN, _SHARES = 12, (0.2, 0.45, 0.75)
 _WEIGHTS, _LEAST, _MOST = (2, 6, 8), 1, 12
+#: Ids of a block up to which the counts of two contexts, added, have 16 bits.
+_MOST_IDS = 0xFFFF // (2 * _MOST)
 _FLOOR = float(1 << 32)
 _TOP = float(1 << 48)
 _LOW32, _S16, _S32 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
 _SUM = np.tril(np.ones((EVENTS, EVENTS), np.float32))
+_SUM_ROWS = np.ascontiguousarray(_SUM.T)
 _ONES = np.ones(EVENTS, np.float32)
+#: Of the last event, its part of the context by confidence.
+_GROUP = (np.arange(EVENTS) + 3) // 5
 _FIRST = np.array([0, *[2 * ((1 << c) - 1) for c in range(_CLASSES)], 0], np.int32)
+#: By rank among the followers, the event of its class; at the end that of rank -1.
+_EVENT_OF = np.append(np.repeat(np.arange(1, _CLASSES + 1), 1 << np.arange(1, _CLASSES + 1)), _ESCAPE).astype(np.int8)
 
 
 @dataclass
@@ -87,10 +94,11 @@ def _tables(rows: np.ndarray, ids: np.ndarray) -> tuple[Tables, Callable[[np.nda
     order = np.lexsort((pairs, -count, pairs // n))
     pairs = pairs[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(pairs // n, minlength=n))]).astype(np.int64)
-    rank = (np.arange(len(pairs)) - begin[pairs // n]).astype(np.int32)
+    rank = np.arange(len(pairs)) - begin[pairs // n]
     rank[rank >= _RANKS] = -1
+    rank = rank.astype(np.int16)
     if len(ids) ** 2 <= 1 << 24:
-        table = np.full(len(ids) ** 2, -1, np.int32)
+        table = np.full(len(ids) ** 2, -1, np.int16)
         table[pairs] = rank
         ranks = table.take
     else:
@@ -116,47 +124,48 @@ def _tables(rows: np.ndarray, ids: np.ndarray) -> tuple[Tables, Callable[[np.nda
 
 
 class Model:
-    """Event counts of all lanes."""
+    """Event counts of all lanes.  The counts overall are read in every step and
+    stand apart, one lane after another.  Those of the two contexts are gathered
+    and are narrow, also added: no block has more than _MOST_IDS ids."""
 
     def __init__(self, lanes: int):
-        self.lanes = np.arange(lanes)
-        self.rows = self.lanes * EVENTS
-        self.counts = np.zeros((lanes * _ROWS, EVENTS), np.float32)
-        self.counts[::_ROWS] = 1
-        self.flat = self.counts.reshape(-1)
-        self.base = np.stack([self.lanes * _ROWS, self.lanes * _ROWS + 1, self.lanes * _ROWS + 1 + EVENTS])
+        self.rows = np.arange(lanes) * EVENTS
+        self.overall = np.ones((lanes, EVENTS), np.float32)
+        self.counts = np.zeros((lanes * _ROWS, EVENTS), np.uint16)
+        self.base = np.stack([np.arange(lanes) * _ROWS, np.arange(lanes) * _ROWS + EVENTS])
         self.at = self.base.copy()
+        self.seen = np.empty((2, lanes, EVENTS), np.uint16)
+        self.both = np.empty((lanes, EVENTS), np.uint16)
+        self.f = np.empty((lanes, EVENTS), np.float32)
         self.weight = np.repeat(np.array(_WEIGHTS, np.float32)[:, None], lanes, axis=1)
+        self.narrow = self.weight[1:].astype(np.uint16)
         self.last = np.zeros(lanes, np.int64)  # last event
         self.steps = 0
 
-    def mix(self, sure: np.ndarray) -> None:
-        """Sets the mixed event weights f (lane, event), their running sums
-        (event, lane) and totals."""
-        np.add(self.base[1], self.last, out=self.at[1])
-        np.add(self.base[2], sure * 4 + (self.last + 3) // 5, out=self.at[2])
-        self.seen = self.counts.take(self.at, axis=0)
-        self.f = self.seen[0] + self.seen[1]
-        self.f += self.seen[2]
-        self.sums = _SUM @ self.f.T
-        self.total = self.sums[EVENTS - 1]
-
-    def part(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of an event."""
-        own = self.f.reshape(-1).take(self.rows + event)
-        return self.sums.reshape(-1).take(event * len(self.lanes) + self.lanes) - own, own
-
-    def update(self, event: np.ndarray, own: np.ndarray) -> None:
+    def mix(self, context: np.ndarray) -> np.ndarray:
+        """The mixed event weights (lane, event).  context: 4 * the confidence
+        of order 2 + the last event's group."""
+        np.add(self.base[0], self.last, out=self.at[0])
+        np.add(self.base[1], context, out=self.at[1])
+        self.counts.take(self.at, axis=0, out=self.seen, mode="clip")  # never out of bounds; other modes copy
+        np.add(self.seen[0], self.seen[1], out=self.both)
+        return np.add(self.overall, self.both, out=self.f)
+
+    def update(self, event: np.ndarray, place: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+        """place: of the event in `f`; own: its mixed weight, total: of all."""
+        self.at *= EVENTS
+        self.at += event
+        flat, overall = self.counts.reshape(-1), self.overall.reshape(-1)
+        got, got_overall = flat.take(self.at, mode="clip"), overall.take(place)
         if self.steps % 16 == 0:
-            got = np.take_along_axis(self.seen, event[None, :, None], axis=2)[:, :, 0]
-            better = got * self.total > own * (self.seen @ _ONES)
+            better = np.stack([got_overall, *got]).astype(np.float32) * total > own * np.stack([self.overall @ _ONES, *(self.seen.astype(np.float32) @ _ONES)])
             self.weight += np.where(better, np.float32(1), np.float32(-1))
             np.clip(self.weight, _LEAST, _MOST, out=self.weight)
+            self.narrow = self.weight[1:].astype(np.uint16)
         self.steps += 1
-        self.at *= EVENTS
-        self.at += event
-        self.flat[self.at] = self.flat.take(self.at) + self.weight
-        np.copyto(self.at[0], self.base[0])
+        got += self.narrow
+        got_overall += self.weight[0]
+        flat[self.at], overall[place] = got, got_overall
         self.last = event
 
 
@@ -188,26 +197,32 @@ def _coded(event: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if at.max(initial=0) + 8 >= len(words):
             words = np.concatenate([words, np.zeros_like(words)])
 
+    context = sure << np.int8(2)
+    context[1:] += _GROUP.astype(np.int8).take(event[:-1])
     for t in range(n):
         e = event[t].astype(np.int64)
-        model.mix(sure[t].astype(np.int64))
-        start, own = model.part(e)
-        unit = span / model.total
+        f = model.mix(context[t])
+        sums = f @ _SUM_ROWS
+        total, place = sums[:, EVENTS - 1], model.rows + e
+        own = f.reshape(-1).take(place)
+        unit = span / total
         np.floor(unit, out=unit)
-        low += (start * unit).astype(np.uint64)
+        low += ((sums.reshape(-1).take(place) - own) * unit).astype(np.uint64)
         np.multiply(own, unit, out=span)
         if t % 4 == 0:
             grown()
-        while len(m := np.flatnonzero(span < _FLOOR)):
-            k, x = at[m], low[m]
+        m = np.flatnonzero(span < _FLOOR)
+        while len(m):
+            k, x, rest = at.take(m), low.take(m), span.take(m) * 65536.0
             words[k, m] = x >> _S32
             at[m] = k + 1
             low[m] = (x & _LOW32) << _S16
-            span[m] *= 65536.0
-        model.update(e, own)
+            span[m] = rest
+            m = m[rest < _FLOOR]
+        model.update(e, place, own, total)
     for _ in range(3):
         grown()
-        words[at, model.lanes] = low >> _S32
+        words[at, np.arange(lanes)] = low >> _S32
         at += 1
         low = (low & _LOW32) << _S16
     words = words[: at.max()]
@@ -219,11 +234,12 @@ def _coded(event: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return words.T[used].astype("<u2"), at
 
 
+@np.errstate(over="ignore")  # in damaged blocks
 def _decoded(words: np.ndarray, used: np.ndarray, raw: np.ndarray, raw_used: np.ndarray, n: int, t: Tables) -> np.ndarray:
     """Order-0 ranks (lane, step)."""
     lanes = len(used)
     flat = np.concatenate([words, np.zeros(4, "<u2")]).astype(np.float64)
-    at, end = np.cumsum(used) - used, len(words) + 3
+    at = np.cumsum(used) - used
     wide = np.concatenate([raw, np.zeros(2, "<u2")]).astype(np.int64)
     wide = (wide[:-1] << 16) | wide[1:]
     place = 16 * (np.cumsum(raw_used) - raw_used)
@@ -233,37 +249,48 @@ def _decoded(words: np.ndarray, used: np.ndarray, raw: np.ndarray, raw_used: np.
         code = code * 65536.0 + flat.take(at, mode="clip")
         at += 1
     bits, first = t.bits.astype(np.int64), _FIRST.astype(np.int64)
-    masks = (np.int64(1) << bits) - 1
-    follow = t.follow.astype(np.int64) if len(t.follow) else np.zeros(1, np.int64)
-    begin, guess, top = t.begin, t.guess.astype(np.int64), len(t.ids) - 1
+    unused = 32 - bits
+    follow = t.follow if len(t.follow) else np.zeros(1, np.uint16)
+    begin, top = t.begin, len(t.ids) - 1
+    guess = t.guess.astype(np.int32)
+    guess += 3 * (guess >> 16 << 16)  # 4 * the confidence
+    lane = np.arange(lanes)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     out = np.zeros((n, lanes), np.uint16)
     for step in range(n):
         g = guess.take(_slot(before, last))
-        model.mix(g >> 16)
-        unit = span / model.total
+        f = model.mix((g >> 16) + _GROUP.take(model.last))
+        sums = _SUM @ f.T  # (event, lane)
+        total = sums[EVENTS - 1]
+        unit = span / total
         np.floor(unit, out=unit)
-        value = np.floor(code / unit)
-        value -= value * unit > code  # a rounded quotient
-        event = np.add.reduce(model.sums <= value, axis=0, dtype=np.int64)
-        np.minimum(event, EVENTS - 1, out=event)
-        start, own = model.part(event)
-        code -= start * unit
+        # whole numbers below 2**48 divide without reaching the next whole number; sums are
+        # below 2**24, so that rounding a larger quotient changes no comparison
+        value = np.floor(code / unit).astype(np.float32)
+        below = sums[:-1] <= value
+        event = np.add.reduce(below.view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        spot = model.rows + event
+        own = f.reshape(-1).take(spot)
+        code -= (sums.reshape(-1).take(event * lanes + lane) - own) * unit
         np.multiply(own, unit, out=span)
-        while len(m := np.flatnonzero(span < _FLOOR)):
-            k = at[m]
-            span[m] *= 65536.0
-            code[m] = code[m] * 65536.0 + flat.take(k, mode="clip")
-            at[m] = np.minimum(k + 1, end)
+        m = np.flatnonzero(span < _FLOOR)
+        while len(m):
+            k, rest = at.take(m), span.take(m) * 65536.0
+            span[m] = rest
+            code[m] = code.take(m) * 65536.0 + flat.take(k, mode="clip")
+            at[m] = k + 1
+            m = m[rest < _FLOOR]
         size = bits.take(event)
-        inside = (wide.take(place >> 4, mode="clip") >> (32 - size - (place & 15))) & masks.take(event)
+        inside = wide.take(place >> 4, mode="clip") << (place & 15)
+        inside &= 0xFFFFFFFF
+        inside >>= unused.take(event)
         place += size
-        x = follow.take(begin.take(last) + first.take(event) + inside, mode="clip")
-        for kind, direct in ((_GUESS, g & 0xFFFF), (_ESCAPE, np.minimum(inside, top))):
-            m = np.flatnonzero(event == kind)
-            x[m] = direct[m]
+        x = follow.take(begin.take(last) + first.take(event) + inside, mode="clip").astype(np.int64)
+        np.copyto(x, g & 0xFFFF, where=event == _GUESS)
+        m = np.flatnonzero(event == _ESCAPE)
+        x[m] = np.minimum(inside.take(m), top)
         out[step] = x
-        model.update(event, own)
+        model.update(event, spot, own, total)
         before, last = last, x
     return out.T
 
@@ -313,9 +340,11 @@ def encode(ids: np.ndarray) -> bytes:
         last, before = _previous(x)
         g = t.guess.take(_slot(before, last))
         ranks = rank_of(last * np.uint32(len(used_ids)) + x)
-        kind = np.frexp((ranks + 2).astype(np.float32))[1] - 2  # class of a rank
-        e = np.where((g >> np.uint32(16) > 0) & ((g & np.uint32(0xFFFF)) == x), _GUESS, np.where(ranks >= 0, kind + 1, _ESCAPE))
-        inside = np.where(e == _GUESS, 0, np.where(e == _ESCAPE, x, ranks - _FIRST.take(e)))
+        e = _EVENT_OF.take(ranks, mode="wrap")
+        e[(g >= 1 << 16) & ((g & np.uint32(0xFFFF)) == x)] = _GUESS
+        inside = ranks - _FIRST.take(e)
+        np.copyto(inside, x.view(np.int32), where=e == _ESCAPE)
+        inside[e == _GUESS] = 0
         raw, n_raw = _packed(inside, t.bits.take(e))
         raws.append(raw)
         raw_used.append(n_raw)
@@ -342,6 +371,8 @@ def decode_blocks(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint32), np.zeros(0, bool)
     size, blocks, distinct, n_follow, n_guess = struct.unpack_from("<IIIII", body, 8)
+    if size > _MOST_IDS:
+        raise ValueError("the blocks of a segment are too large")
     at, sections = 28, []
     for _ in range(2):
         length, crc = struct.unpack_from("<II", body, at)

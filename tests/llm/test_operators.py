@@ -88,6 +88,20 @@ def test_coder_round_trip_and_damage():
         mixcoder.decode_blocks(body[:-2])
 
 
+def test_coder_counts_are_narrow_and_code_as_before():
+    assert mixcoder.Model(8).counts.nbytes <= 8 * 1024  # a lane's; what the coder gathers in every step is most of its time
+    step = np.arange(mixcoder.BLOCK * 6).reshape(mixcoder.BLOCK, 6)
+    event = ((step * step * 7919 + step // 5) % 101 % mixcoder.EVENTS).astype(np.int8)
+    sure = (step * 31 % 7 % 4).astype(np.int8)
+    event[:, 4], sure[:, 4], event[:, 5], sure[:, 5] = 3, 0, 15, 3  # all counts in one place
+    words, used = mixcoder._coded(event, sure)
+    assert (zlib.crc32(words.tobytes()), used.tolist()) == (2097787943, [512, 511, 514, 514, 4, 4])  # as coded with counts in floats
+    body = mixcoder.encode(np.arange(mixcoder.BLOCK))
+    assert body[8:12] == mixcoder.BLOCK.to_bytes(4, "little")
+    with pytest.raises(ValueError, match="too large"):
+        mixcoder.decode(body[:8] + (10_000).to_bytes(4, "little") + body[12:])
+
+
 TEXTS = ["", "Hello  World\n\n", "it's 'quoted' <|endoftext|> x", "naïve café — ﬁ 漢字 é", "\t tab\x85nel\xa0nbsp", "a" * 300 + " b", "don't\nI'LL 12345 !!!", " 'sleading", "́ combining"]
 
 
