@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,14 +89,35 @@ def quotas(counts: DataFrame, fraction: float, group: str = "strata", n: str = "
     return rows.withColumn("quota", (F.col("__base") + (F.col("__place") <= F.col("__need")).cast("long"))).drop("__keep", "__total", "__base", "__rest", "__need", "__place")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A narrow table that is read several times: a checkpoint where a folder
-    for one is set, else persisted (recomputed if an executor is lost)."""
+def _folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share, if one is set."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return given.rstrip("/") if given else None
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """A table that is read several times, computed once: written to the folder
+    for checkpoints where one is set (a checkpoint itself would compute it
+    twice), else persisted (recomputed if an executor is lost)."""
     spark = df.sparkSession
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(given)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    folder = _folder(spark)
+    if not folder:
+        return df.persist()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallyrook_path = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Let go of a table made by `kept` that nothing reads any more."""
+    path = getattr(df, "_tallyrook_path", None)
+    if path is None:
+        df.unpersist()
+        return
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def split(df: DataFrame, key: str, group: str = "strata", test: float = 0.2, seed: int = 42) -> DataFrame:

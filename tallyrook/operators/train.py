@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrook.operators.prep import class_weights
+from tallyrook.operators.prep import class_weights, kept, released
 
 SOURCE = "ml-substitute"
 
 
 def fit(train: DataFrame, column: str = "func_before", label: str = "vul", features: int = 1 << 14, iterations: int = 20) -> PipelineModel:
+    """The texts are split and counted once; the two fits read the counts."""
     weighted = train.join(F.broadcast(class_weights(train, label)), label)  # two rows
-    stages = [
-        RegexTokenizer(inputCol=column, outputCol="words", pattern=r"\W+"),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-        IDF(inputCol="counts", outputCol="features", minDocFreq=2),
-        LogisticRegression(labelCol=label, weightCol="weight", maxIter=iterations, regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
+    tokens = RegexTokenizer(inputCol=column, outputCol="words", pattern=r"\W+")
+    hashed = HashingTF(inputCol="words", outputCol="counts", numFeatures=features)
+    counts = kept(hashed.transform(tokens.transform(weighted)).select(label, "weight", "counts"), "word-counts")
+    idf = IDF(inputCol="counts", outputCol="features", minDocFreq=2).fit(counts)
+    model = LogisticRegression(labelCol=label, weightCol="weight", maxIter=iterations, regParam=0.01).fit(idf.transform(counts))
+    released(counts)
+    return PipelineModel([tokens, hashed, idf, model])
 
 
 def save_if_better(model: PipelineModel, path: str, f1: float, best: float) -> float:

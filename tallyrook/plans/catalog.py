@@ -383,7 +383,7 @@ def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ml_substitute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _split(spark, sf_dir)
+    rows = prep.split(prep.kept(fx.prepared(spark, sf_dir), "prepared"), "row_ord")  # cleaned and deduped once
     model = train.fit(rows.where("split = 'train'"))
     held = rows.where("split != 'train'").select(F.col("row_ord").alias("code_id"), F.col("func_before").alias("code"))
     return train.scorer(model)(held)
