@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, like: Likeness) -> DataFrame:
                         sums.append(pa.array(s.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), *sums], names=["doc_id", "n", "fa", "fb"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fa long, fb long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(base.trimming(run), "doc_id long, n long, fa long, fb long")
 
 
 def _prefixes(docs: DataFrame, like: Likeness, moved: np.ndarray, ahead: bool) -> DataFrame:
@@ -143,7 +143,7 @@ def _prefixes(docs: DataFrame, like: Likeness, moved: np.ndarray, ahead: bool) -
                         names=["token", "doc_id", "n", "moved", "own"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, n int, moved boolean, own int")
+    return docs.select("doc_id", "text").mapInArrow(base.trimming(run), "token long, doc_id long, n int, moved boolean, own int")
 
 
 def _heavy(tokens: DataFrame, limit: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def _sketches(docs: DataFrame, like: Likeness) -> DataFrame:
                         out.append(b"".join(key[at : at + p[d]].tobytes() for key in keys) if n[d] else b"")
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(base.trimming(run), "doc_id long, n int, sketch binary")
 
 
 def _whole_sets(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -201,7 +201,7 @@ def _whole_sets(docs: DataFrame, like: Likeness) -> DataFrame:
                     out = [h[end[d] - n[d] : end[d]].astype("<u8").tobytes() for d in range(j - i)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(base.trimming(run), "doc_id long, tokens binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -256,11 +256,11 @@ def verified(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     near = base.saved(ids(pairs), "near")
     sketches = base.saved(_sketches(base.restricted_rows(docs, near, "left_semi"), like), "sketches")
     left = _paired(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
-    left = base.saved(left.mapInArrow(sift, "a long, b long"), "sifted")
+    left = base.saved(left.mapInArrow(base.trimming(sift), "a long, b long"), "sifted")
     base.dropped(sketches, near)
     close = base.saved(ids(left), "close")
     whole = base.saved(_whole_sets(base.restricted_rows(docs, close, "left_semi"), like), "sets")
-    out = base.saved(_paired(left, whole, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long").distinct(), "links")
+    out = base.saved(_paired(left, whole, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(base.trimming(check), "a long, b long").distinct(), "links")
     base.dropped(whole, close, left)
     return out
 
@@ -310,7 +310,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
                     columns = [pa.array(h.view(np.int64)), pa.array(ids[i:j][doc], pa.int64()), pa.array(n[doc], pa.int32()), pa.array(mark[doc].view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "n", "mark"])
 
-    tokens = base.saved(close.select("doc_id", "text").mapInArrow(explode, "token long, doc_id long, n int, mark long"), "tokens")
+    tokens = base.saved(close.select("doc_id", "text").mapInArrow(base.trimming(explode), "token long, doc_id long, n int, mark long"), "tokens")
     df = base.saved(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "document-frequencies")
     known = base.saved(tokens.join(df, "token"), "frequencies")
     from pyspark.sql import Window as W
