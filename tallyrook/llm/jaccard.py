@@ -254,19 +254,21 @@ def verified(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
 
     near = base.saved(ids(pairs), "near")
-    sketches = base.saved(_sketches(base.restricted_rows(docs, near, "left_semi"), like), "sketches")
+    # an id that repeats may have an empty set beside others; it links with nothing
+    sketches = base.saved(_sketches(base.restricted_rows(docs, near, "left_semi"), like).where("n > 0"), "sketches")
     left = _paired(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     left = base.saved(left.mapInArrow(base.trimming(sift), "a long, b long"), "sifted")
     base.dropped(sketches, near)
     close = base.saved(ids(left), "close")
-    whole = base.saved(_whole_sets(base.restricted_rows(docs, close, "left_semi"), like), "sets")
+    whole = base.saved(_whole_sets(base.restricted_rows(docs, close, "left_semi"), like).where("length(tokens) > 0"), "sets")
     out = base.saved(_paired(left, whole, ["tokens"]).select("a", "b", "tokens_a", "tokens_b").mapInArrow(base.trimming(check), "a long, b long").distinct(), "links")
     base.dropped(whole, close, left)
     return out
 
 
 def _sizes_fit(a: str, b: str, like: Likeness):
-    return F.expr(f"{like.den} * {a} >= {like.num} * {b} and {like.den} * {b} >= {like.num} * {a}")
+    # sizes are ints: products of theirs pass 2**31 at 21 million shingles, an error in ANSI mode
+    return F.expr(f"{like.den}L * {a} >= {like.num}L * {b} and {like.den}L * {b} >= {like.num}L * {a}")
 
 
 def small_group_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
@@ -319,10 +321,10 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     # use up the first n - core places of its prefix
     by_doc = W.partitionBy("doc_id", "mark")
     ranked = known.withColumn("at", F.row_number().over(by_doc.orderBy("df", "token"))).withColumn("core", F.count("*").over(by_doc))
-    p = F.expr(f"n - ({like.num} * n + {like.den - 1}) div {like.den} + 1")
+    p = F.expr(f"n - ({like.num}L * n + {like.den - 1}) div {like.den} + 1")
     ranked = ranked.where((F.col("at") + F.col("n") - F.col("core")) <= p).select("token", "doc_id", "n", "core", "at")
     # partners' largest size that the tokens shared with anyone allow
-    most = F.least(F.expr(f"n * {like.den} / {like.num}D"), F.expr(f"core * {like.num + like.den} / {like.num}D - n"))
+    most = F.least(F.expr(f"n * {like.den}L / {like.num}D"), F.expr(f"core * {like.num + like.den}L / {like.num}D - n"))
     ranked = ranked.withColumn("most", most).join(members, "doc_id")
     fine = 0.005
     bucket = F.floor(F.log("n") / fine).cast("int")
@@ -336,7 +338,7 @@ def residual_pairs(docs: DataFrame, rows: DataFrame, comps: DataFrame, like: Lik
     minor = minor.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("core").alias("ca"), F.col("at").alias("ta"), F.col("component").alias("ka"), F.explode(F.sequence("low", "high")).alias("bucket"))
     other = ranked.select("token", "bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("core").alias("cb"), F.col("at").alias("tb"), F.col("component").alias("kb"))
     # at a pair's first common token, no more than what follows on both sides is shared
-    fits = F.expr(f"ka != kb and {like.num} * (na + nb) <= {like.num + like.den} * (1 + least(ca - ta, cb - tb))") & _sizes_fit("na", "nb", like)
+    fits = F.expr(f"ka != kb and {like.num}L * (na + nb) <= {like.num + like.den}L * (1 + least(ca - ta, cb - tb))") & _sizes_fit("na", "nb", like)
     found = minor.join(other, ["token", "bucket"]).where(fits)
     out = base.saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "residual")
     base.dropped(members, tokens, known, ranked, open_, df, major)

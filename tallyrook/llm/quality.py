@@ -114,8 +114,12 @@ def fit(stats: DataFrame, sample: DataFrame, shrinkage: float = SHRINKAGE) -> Mo
 
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
-    """`stats` with `score` in 0..1: the posterior of label 1."""
-    out = stats.select("*", *[v.alias(k) for k, v in features().items()])
+    """`stats` with `score` in 0..1: the posterior of label 1.
+
+    The features come from a generator of one row: a filter on the score stops
+    there.  Pushed below plain columns it takes a copy of a feature for each of
+    its uses, and such code does not compile (over 64 KB)."""
+    out = stats.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in features().items()]))))
     odds = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), model.log_odds()))
     return out.withColumn("score", 1 / (1 + F.exp(-odds))).drop(*model.names)
 
